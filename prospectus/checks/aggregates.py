@@ -143,10 +143,7 @@ def _(t, p):
     FROM ({s.STAGE_SPANS}) GROUP BY ALL""",
 )
 def _(t, p):
-    wide = stages.stage_days(t, p)
-    named = ", ".join(f"'{c}', days_{c.lower()}" for c in s.STAGE_CODES)
-    tall = f"stack({len(s.STAGE_CODES)}, {named}) AS (stage_code, days)"
-    return wide.selectExpr("proposal_id", tall).where("days IS NOT NULL")
+    return stages.days_per_stage(t, p)
 
 
 @check(

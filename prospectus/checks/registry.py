@@ -40,3 +40,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def check_sql() -> dict[str, str]:
     return {key: with_staged(sql) for key, sql in _SQL.items()}
+
+
+def registered() -> dict[str, tuple[Query, str]]:
+    """Query and check SQL per key, both over the source tables, for tests that bring their own."""
+    return {key: (_QUERIES[key], _SQL[key]) for key in _QUERIES}

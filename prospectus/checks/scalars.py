@@ -27,13 +27,19 @@ def _(t, p):
     return t.prospect.select("prospect_id", written.alias("written"), dates.parse_date(written).alias("parsed"))
 
 
+def _shifted(by: str) -> str:
+    """Month shift that maps the last day of a month to the last day of the other, time of day kept."""
+    time_of_day = "(contact_date - date_trunc('day', contact_date))"
+    return (
+        f"CASE WHEN CAST(contact_date AS DATE) = last_day(contact_date) "
+        f"THEN CAST(last_day(contact_date {by}) AS TIMESTAMP) + {time_of_day} ELSE contact_date {by} END"
+    )
+
+
 @check(
     "scl_add_months",
-    """SELECT DISTINCT contact_date, CASE WHEN CAST(contact_date AS DATE) = last_day(contact_date)
-    THEN CAST(last_day(contact_date - INTERVAL 13 MONTH) AS TIMESTAMP) ELSE contact_date - INTERVAL 13 MONTH END
-    AS earlier, CASE WHEN CAST(contact_date AS DATE) = last_day(contact_date)
-    THEN CAST(last_day(contact_date + INTERVAL 1 MONTH) AS TIMESTAMP) ELSE contact_date + INTERVAL 1 MONTH END
-    AS later FROM contact_report""",
+    f"SELECT DISTINCT contact_date, {_shifted('- INTERVAL 13 MONTH')} AS earlier, "
+    f"{_shifted('+ INTERVAL 1 MONTH')} AS later FROM contact_report",
 )
 def _(t, p):
     at = F.col("contact_date")
@@ -211,10 +217,12 @@ def _(t, p):
     f"""SELECT prospect_id, {s.quartile('ask_made / nullif(proposals, 0)')} AS label FROM (
     SELECT prospect_id, count(*) FILTER (proposal_type LIKE 'MG%' AND {s.within('start_date')}) AS proposals,
     count(*) FILTER (proposal_type LIKE 'MG%' AND {s.within('start_date')}
-      AND stage_code IN ('AM', 'DN', 'GC', 'PL', 'ST')) AS ask_made FROM proposal GROUP BY ALL)""",
+      AND stage_code IN ('AM', 'DN', 'GC', 'PL', 'ST')) AS ask_made FROM proposal
+      WHERE prospect_id IS NOT NULL GROUP BY ALL)""",
 )
 def _(t, p):
-    counts = t.proposal.select("prospect_id").distinct().join(prospect_proposals(t, p), "prospect_id", "left")
+    prospects = t.proposal.select("prospect_id").dropna().distinct()
+    counts = prospects.join(prospect_proposals(t, p), "prospect_id", "left")
     label = scalars.quartile_label(scalars.share(F.col("ask_made"), F.col("proposals")))
     return counts.select("prospect_id", label.alias("label"))
 

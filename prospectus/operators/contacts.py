@@ -7,6 +7,9 @@ counts afterwards. No report row is ever joined to a cohort row.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +82,17 @@ def activity_tallies(t: Tables, p: ReportParams) -> DataFrame:
     )
 
 
+def kept_whole(tallies: DataFrame) -> DataFrame:
+    """Tallies behind an always-true condition that names every count and date.
+
+    For reports that use one tally table in several joins, each reading other columns. Column pruning would give each
+    use an aggregate, a shuffle and a scan of its own; with all columns kept the uses are equal, and Spark runs one.
+    """
+    counts = [c for c, kind in tallies.dtypes if kind == "bigint" and c not in _PAIR]
+    dates = [c for c, kind in tallies.dtypes if kind.startswith("timestamp")]
+    return tallies.where(reduce(or_, [F.col(d).isNotNull() for d in dates], F.greatest(*counts) >= 0))
+
+
 def by_cohort_officer(pairs: DataFrame, tallies: DataFrame) -> DataFrame:
     """Cohort pairs with the tallies of their own officer; tallies are null where the officer filed nothing."""
     return pairs.join(tallies.withColumnRenamed("author_id", "officer_id"), ["prospect_id", "officer_id"], "left")

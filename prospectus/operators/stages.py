@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospectus.functions import predicates as is_
@@ -33,20 +33,31 @@ def proposal_stage_intervals(t: Tables, proposals: DataFrame | None = None) -> D
     )
 
 
-def stage_days(t: Tables, p: ReportParams, proposals: DataFrame | None = None) -> DataFrame:
-    """Days per proposal and stage, one column per stage code; the last stage runs to now.
-
-    Microseconds are summed exactly and divided once, so the result does not depend on the order of rows.
-    """
+def _spent(p: ReportParams) -> Column:
+    """Microseconds of a row's entries, until the next stage or now. Decimal, so that sums are exact and never wrap."""
     spent = micros_between(F.col("stage_date"), F.coalesce("next_date", now(p))).cast("decimal(20,0)")
-    total = spent * F.col("entries").cast("decimal(18,0)")
-    intervals = proposal_stage_intervals(t, proposals).withColumn("_spent", total)
+    return spent * F.col("entries").cast("decimal(18,0)")
+
 
-    def days(code: str):
-        micros = F.sum(F.when(F.col("stage_code") == code, F.col("_spent")))
-        return (micros.cast("double") / F.lit(float(MICROS_PER_DAY))).alias(f"days_{code.lower()}")
+def _days(micros: Column) -> Column:
+    """Microseconds as days. Divided once after summing, so the order of rows does not matter."""
+    return micros.cast("double") / F.lit(float(MICROS_PER_DAY))
 
-    return intervals.groupBy("proposal_id").agg(*[days(code) for code in is_.PROPOSAL_STAGES])
+
+def days_per_stage(t: Tables, p: ReportParams, proposals: DataFrame | None = None) -> DataFrame:
+    """Days per (proposal, stage code); the last stage runs to now."""
+    intervals = proposal_stage_intervals(t, proposals)
+    return intervals.groupBy("proposal_id", "stage_code").agg(_days(F.sum(_spent(p))).alias("days"))
+
+
+def stage_days(t: Tables, p: ReportParams, proposals: DataFrame | None = None) -> DataFrame:
+    """Days per proposal with one column per stage code, in one pass over the intervals."""
+    intervals = proposal_stage_intervals(t, proposals).withColumn("_spent", _spent(p))
+    columns = [
+        _days(F.sum(F.when(F.col("stage_code") == code, F.col("_spent")))).alias(f"days_{code.lower()}")
+        for code in is_.PROPOSAL_STAGES
+    ]
+    return intervals.groupBy("proposal_id").agg(*columns)
 
 
 def time_at_stage(cohort: DataFrame, t: Tables, p: ReportParams) -> DataFrame:

@@ -9,7 +9,13 @@ from prospectus.functions import predicates as is_
 from prospectus.functions.dates import now, rolling_label, rounded_years
 from prospectus.functions.scalars import ask_gap_flag, assessment
 from prospectus.operators.cohorts import cohort_pairs, cohort_rows_per_prospect, prospect_cohort
-from prospectus.operators.contacts import by_cohort_officer, coverage_tallies, last_qualification, per_author
+from prospectus.operators.contacts import (
+    by_cohort_officer,
+    coverage_tallies,
+    kept_whole,
+    last_qualification,
+    per_author,
+)
 from prospectus.operators.giving import last_annual_fund_gift, last_gift, primary_pool
 from prospectus.operators.proposals import max_planned_ask_date
 from prospectus.params import ReportParams
@@ -40,7 +46,7 @@ def portfolio_analysis(t: Tables, p: ReportParams) -> DataFrame:
     because each side is aggregated to one row per author.
     """
     cohort = prospect_cohort(t, named=False, require_active_staff=False, start="fallback")
-    tallies = coverage_tallies(t, p, days_earlier=1)
+    tallies = kept_whole(coverage_tallies(t, p, days_earlier=1))
     held = by_cohort_officer(cohort_pairs(cohort), tallies)
 
     own = per_author(held, _ALL_TIME, F.col("contacts").isNotNull(), dates=("latest_visit",))

@@ -10,6 +10,7 @@ however many officers a prospect has.
 from __future__ import annotations
 
 from functools import reduce
+from operator import mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from prospectus.functions import scalars
 from prospectus.functions.dates import now
 from prospectus.operators.cohorts import cohort_pairs, prospect_cohort
-from prospectus.operators.contacts import ACTIVITY, activity_tallies, by_cohort_officer, outside_entities
+from prospectus.operators.contacts import activity_tallies, by_cohort_officer, kept_whole, outside_entities
 from prospectus.operators.giving import primary_pool, prospect_giving
 from prospectus.operators.officers import officer_portfolio, proposal_age_counts, role_size, stage_age_counts
 from prospectus.operators.proposals import prospect_proposals
@@ -64,11 +65,9 @@ STAGE_MIX = {
     "at_permanent_stewardship": ("n_ps", False),
 }
 
-_ZERO = F.lit(0)
-
 
 def _or_zero(name: str) -> Column:
-    return F.coalesce(F.col(name), _ZERO)
+    return F.coalesce(F.col(name), F.lit(0))
 
 
 def _own_test(tally: str, least: int) -> Column:
@@ -113,19 +112,15 @@ def prospect_summary(pairs: DataFrame, tallies: DataFrame, t: Tables, p: ReportP
         F.sum("rows").alias("prospect_rows"),
         *[F.count_if(F.col(f"{name}_rows") > 0).alias(f"{name}_officers") for name in PRIORITIES],
     )
+    counted = officers.join(author_summary(pairs, tallies), "prospect_id", "left")
+    counted = counted.join(capacity_summary(t), "prospect_id", "left").fillna(0)
     gave = prospect_giving(t, p).select("prospect_id", (F.col("given") != 0).alias("gave"))
-    proposals = prospect_proposals(t, p)
-    return reduce(
-        lambda left, right: left.join(right, "prospect_id", "left"),
-        [author_summary(pairs, tallies), capacity_summary(t), gave, proposals],
-        officers,
-    )
+    return counted.join(gave, "prospect_id", "left").join(prospect_proposals(t, p), "prospect_id", "left")
 
 
 def _join_rows(officers: str, filed: str) -> Column:
     """Rows of one author join: officers who filed, one shared row for those who did not, one if nobody qualifies."""
-    authors = _or_zero(filed)
-    return F.greatest(authors + (F.col(officers) > authors).cast("bigint"), F.lit(1))
+    return F.greatest(F.col(filed) + (F.col(officers) > F.col(filed)).cast("bigint"), F.lit(1))
 
 
 def fan_out_measures(cohort: DataFrame, t: Tables, p: ReportParams, own_rows_only: bool) -> DataFrame:
@@ -137,9 +132,7 @@ def fan_out_measures(cohort: DataFrame, t: Tables, p: ReportParams, own_rows_onl
     pairs = cohort_pairs(cohort)
     tallies = activity_tallies(t, p)
     if own_rows_only:
-        # The two uses below read different counts. A condition on all of them (always true) keeps the aggregate whole
-        # in both, so Spark scans the reports once and reuses the exchange.
-        tallies = tallies.where(F.greatest("reports", *ACTIVITY) > 0)
+        tallies = kept_whole(tallies)
     prospects = prospect_summary(pairs, tallies, t, p)
     if own_rows_only:
         rows = by_cohort_officer(pairs, tallies).join(prospects, "prospect_id")
@@ -151,38 +144,39 @@ def fan_out_measures(cohort: DataFrame, t: Tables, p: ReportParams, own_rows_onl
         "own": one if own_rows_only else _join_rows("officers", "filed"),
         "pq": _join_rows("pq_officers", "pq_filed"),
         "pm": _join_rows("pm_officers", "pm_filed"),
-        "pool": F.greatest(_or_zero("pool_rows"), one),
+        "pool": F.greatest(F.col("pool_rows"), one),
     }
+    # joined: joined rows of a cohort row; joined_but_x: the same with join x left out.
+    weights = {"joined": reduce(mul, factors.values(), F.col("rows"))}
+    for name in factors:
+        weights[f"joined_but_{name}"] = reduce(mul, [f for n, f in factors.items() if n != name], F.col("rows"))
+    rows = rows.withColumns(weights)
 
-    def joined_rows(without: str | None = None) -> Column:
-        """Joined rows of the cohort row, leaving one join out."""
-        return reduce(lambda a, b: a * b, [f for name, f in factors.items() if name != without], F.col("rows"))
+    def tests_met(met: str, join: str) -> Column:
+        return F.sum(F.col(met) * F.col(f"joined_but_{join}"))
 
-    def tests_met(met: Column, join: str) -> Column:
-        return F.sum(met * joined_rows(without=join))
-
-    def flagged(test: Column, join: str | None = None) -> Column:
-        return F.sum(F.when(test, joined_rows(without=join)).otherwise(_ZERO))
+    def flagged(test: Column, weight: str = "joined") -> Column:
+        return F.sum(F.when(test, F.col(weight)).otherwise(0))
 
     measures = {}
     for name, test in OWN_TESTS.items():
-        measures[name] = flagged(_own_test(*test), "own") if own_rows_only else tests_met(_or_zero(name), "own")
-    for name in ("contacted_by_officer", "visited_by_officer", "ask_special_by_officer"):
-        # Officers without any report have no row to test for zero in the team-member form.
-        missing = flagged(F.col("reports").isNull(), "own") if own_rows_only else _ZERO
-        measures[f"{name}_not_zero"] = measures[name] + missing
+        measures[name] = flagged(_own_test(*test), "joined_but_own") if own_rows_only else tests_met(name, "own")
+    if own_rows_only:
+        # Officers without any report have no row to test for zero.
+        measures["unfiled"] = flagged(F.col("reports").isNull(), "joined_but_own")
     for name in ANY_TESTS:
         measures[name] = flagged(F.col(name))
     for name in CAPACITY_TESTS:
-        measures[name] = tests_met(_or_zero(name), "pool")
+        measures[name] = tests_met(name, "pool")
     measures["gave"] = flagged(F.col("gave"))
     for name, column in PROPOSAL_SUMS.items():
         value = F.col(column) if name == "proposals_dropped_before_ask" else F.col(column) * F.col("prospect_rows")
-        measures[name] = F.sum(value * joined_rows())
+        measures[name] = F.sum(value * F.col("joined"))
     for name in PRIORITIES:
-        measures[f"{name}_visited"] = tests_met(_or_zero(f"{name}_visited"), name)
-        measures[f"{name}_qualified"] = tests_met(_or_zero(f"{name}_qualified"), name)
-    return rows.groupBy("officer_id").agg(*[m.alias(name) for name, m in measures.items()])
+        measures[f"{name}_visited"] = tests_met(f"{name}_visited", name)
+        measures[f"{name}_qualified"] = tests_met(f"{name}_qualified", name)
+    totals = rows.groupBy("officer_id").agg(*[m.alias(name) for name, m in measures.items()])
+    return totals if own_rows_only else totals.withColumn("unfiled", F.lit(0))
 
 
 def _with_share(name: str, size: str = "portfolio_size") -> list[Column]:
@@ -286,10 +280,10 @@ def officer_scorecard(t: Tables, p: ReportParams, atype: str = "LM") -> DataFram
         scalars.yes_no(ratio(F.col("n_q")) > 0.25).alias("qualification_over_quarter"),
         scalars.yes_no(ratio(F.col("n_cu") + F.col("n_st")) >= 0.5).alias("cultivation_stewardship_half"),
         scalars.yes_no(ratio(F.col("n_so")) >= 0.1).alias("solicitation_tenth"),
-        scalars.quartile_label(ratio(F.col("contacted_by_officer_not_zero"))).alias("contact_quartile"),
-        scalars.quartile_label(ratio(F.col("visited_by_officer_not_zero"))).alias("visit_quartile"),
+        scalars.quartile_label(ratio(F.col("contacted_by_officer") + F.col("unfiled"))).alias("contact_quartile"),
+        scalars.quartile_label(ratio(F.col("visited_by_officer") + F.col("unfiled"))).alias("visit_quartile"),
         scalars.quartile_label(ratio(F.col("ask_major_any"))).alias("ask_major_any_quartile"),
-        scalars.quartile_label(ratio(F.col("ask_special_by_officer_not_zero"))).alias("ask_special_quartile"),
+        scalars.quartile_label(ratio(F.col("ask_special_by_officer") + F.col("unfiled"))).alias("ask_special_quartile"),
         scalars.quartile_label(of_proposals(F.col("proposals_ask_made"))).alias("ask_made_quartile"),
         scalars.quartile_label(of_proposals(F.col("proposals_closed"))).alias("closed_quartile"),
         *by_priority,

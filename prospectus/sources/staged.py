@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,6 +231,7 @@ def _values_sql(rows: list[tuple[str, ...]]) -> str:
 def stage_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The source tables over the test tables in ``sf_dir``; every read is lazy."""
 
+    @cache
     def physical(name: str) -> DataFrame:
         if name == "m":
             price = F.col("o_totalprice").cast("decimal(18,2)")
@@ -253,7 +254,7 @@ def stage_tables(spark: SparkSession, sf_dir: str) -> Tables:
         df = reduce(DataFrame.unionAll, [part(*entry) for entry in _MAPPING[table]])
         return df.distinct() if table == "assignment" else df
 
-    return Tables.build(read)
+    return Tables(read)
 
 
 def staged_sql(table: str) -> str:

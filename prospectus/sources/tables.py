@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
-from typing import Callable
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +11,8 @@ from pyspark.sql.types import StringType
 from prospectus.sources.schemas import TABLE_NAMES, schema_of
 
 
-@dataclass(frozen=True)
 class Tables:
-    """The 15 source tables as DataFrames. Nothing is read until a report runs."""
+    """The 15 source tables as DataFrames, opened on first use and then kept."""
 
     prospect: DataFrame
     assignment: DataFrame
@@ -32,9 +30,15 @@ class Tables:
     tms_proposal_status: DataFrame
     tms_proposal_stage: DataFrame
 
-    @classmethod
-    def build(cls, read: Callable[[str], DataFrame]) -> Tables:
-        return cls(**{f.name: read(f.name) for f in fields(cls)})
+    def __init__(self, read: Callable[[str], DataFrame]):
+        self._read = read
+
+    def __getattr__(self, table: str) -> DataFrame:
+        if table not in TABLE_NAMES:
+            raise AttributeError(table)
+        df = self._read(table)
+        setattr(self, table, df)
+        return df
 
 
 def conform(df: DataFrame, table: str, empty_as_null: bool = False) -> DataFrame:
@@ -73,12 +77,12 @@ def load_tables(
             reader = reader.schema(schema_of(table))
         return conform(reader.load(f"{root}/{table}"), table, empty_as_null)
 
-    return Tables.build(read)
+    return Tables(read)
 
 
 def tables_from_catalog(spark: SparkSession, schema: str, empty_as_null: bool = False) -> Tables:
     """Tables registered in the session catalog as ``schema.<table>``."""
-    return Tables.build(lambda table: conform(spark.table(f"{schema}.{table}"), table, empty_as_null))
+    return Tables(lambda table: conform(spark.table(f"{schema}.{table}"), table, empty_as_null))
 
 
 # Event tables and the date their windows are cut on.
