@@ -132,6 +132,8 @@ def proposal_cohort(t: Tables, p: ReportParams) -> DataFrame:
         .drop("id_number")
         .distinct()
     )
+    # One side per prospect, so that a prospect with very many proposals is met by a single join that can be split.
+    sides = entities.join(managers, "prospect_id", "full_outer")
     status = t.tms_proposal_status.withColumnRenamed("short_desc", "proposal_status_desc")
     stages = t.tms_proposal_stage.select(
         F.col("stage_code").alias("current_stage"), F.col("short_desc").alias("current_stage_desc")
@@ -142,8 +144,7 @@ def proposal_cohort(t: Tables, p: ReportParams) -> DataFrame:
         .withColumn("fiscal_year", fiscal_year("stop_date", p))
         .join(status, "proposal_status_code", "left")
         .join(stages, "current_stage", "left")
-        .join(entities, "prospect_id", "left")
-        .join(managers, "prospect_id", "left")
+        .join(sides, "prospect_id", "left")
         .select(
             "proposal_id",
             "prospect_id",

@@ -10,7 +10,6 @@ however many officers a prospect has.
 from __future__ import annotations
 
 from functools import reduce
-from operator import mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,61 +65,51 @@ STAGE_MIX = {
 }
 
 
-def _or_zero(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0))
+def _own_test(tally: str, least: int) -> str:
+    """Cohort rows repeat the officer's reports, so a prospect held twice reaches two visits with one report."""
+    return f"rows * {tally} >= {least}"
 
 
-def _own_test(tally: str, least: int) -> Column:
-    """Cohort rows repeat the officer's reports, so a prospect held twice reaches two visits with one report."""
-    return F.col("rows") * F.col(tally) >= least
+def _named(expressions: dict[str, str]) -> list[Column]:
+    return [F.expr(sql).alias(name) for name, sql in expressions.items()]
 
 
 def author_summary(pairs: DataFrame, tallies: DataFrame) -> DataFrame:
-    """Per prospect: authors that are cohort officers, those that pass each test, and sums over all authors."""
+    """Per prospect: authors that are cohort officers, those that pass each test, and flags over all authors."""
     filed = tallies.join(pairs.withColumnRenamed("officer_id", "author_id"), ["prospect_id", "author_id"], "left")
-    own = F.col("rows").isNotNull()
-    aggregates = [F.count_if(own).alias("filed")]
-    aggregates += [F.count_if(own & _own_test(*test)).alias(name) for name, test in OWN_TESTS.items()]
+    counts = {"filed": "count(rows)"}
+    counts |= {name: f"count_if({_own_test(*test)})" for name, test in OWN_TESTS.items()}
     for name in PRIORITIES:
-        held = F.col(f"{name}_rows") > 0
-        aggregates += [
-            F.count_if(held).alias(f"{name}_filed"),
-            F.count_if(held & (F.col("visits") > 0)).alias(f"{name}_visited"),
-            F.count_if(held & (F.col("qualified") > 0)).alias(f"{name}_qualified"),
-        ]
-    aggregates += [F.max(F.col(tally) > 0).alias(name) for name, tally in ANY_TESTS.items()]
-    return filed.groupBy("prospect_id").agg(*aggregates)
+        held = f"{name}_rows > 0"
+        counts[f"{name}_filed"] = f"count_if({held})"
+        counts[f"{name}_visited"] = f"count_if({held} AND visits > 0)"
+        counts[f"{name}_qualified"] = f"count_if({held} AND qualified > 0)"
+    counts |= {name: f"max({tally} > 0)" for name, tally in ANY_TESTS.items()}
+    return filed.groupBy("prospect_id").agg(*_named(counts))
 
 
 def capacity_summary(t: Tables) -> DataFrame:
     """Per prospect: primary pool rows, in all and by capacity threshold."""
-    capacity = F.col("abs_high_capacity_ucdt_asks")
-    tests = {
-        name: capacity < least if side == "lt" else capacity >= least for name, (side, least) in CAPACITY_TESTS.items()
-    }
-    return (
-        primary_pool(t)
-        .groupBy("prospect_id")
-        .agg(F.count("*").alias("pool_rows"), *[F.count_if(test).alias(name) for name, test in tests.items()])
-    )
+    counts = {"pool_rows": "count(*)"}
+    for name, (side, least) in CAPACITY_TESTS.items():
+        counts[name] = f"count_if(abs_high_capacity_ucdt_asks {'<' if side == 'lt' else '>='} {least})"
+    return primary_pool(t).groupBy("prospect_id").agg(*_named(counts))
 
 
 def prospect_summary(pairs: DataFrame, tallies: DataFrame, t: Tables, p: ReportParams) -> DataFrame:
     """One row per cohort prospect with everything an officer's counts need of it."""
-    officers = pairs.groupBy("prospect_id").agg(
-        F.count("*").alias("officers"),
-        F.sum("rows").alias("prospect_rows"),
-        *[F.count_if(F.col(f"{name}_rows") > 0).alias(f"{name}_officers") for name in PRIORITIES],
-    )
-    counted = officers.join(author_summary(pairs, tallies), "prospect_id", "left")
+    officers = {"officers": "count(*)", "prospect_rows": "sum(rows)"}
+    officers |= {f"{name}_officers": f"count_if({name}_rows > 0)" for name in PRIORITIES}
+    counted = pairs.groupBy("prospect_id").agg(*_named(officers))
+    counted = counted.join(author_summary(pairs, tallies), "prospect_id", "left")
     counted = counted.join(capacity_summary(t), "prospect_id", "left").fillna(0)
     gave = prospect_giving(t, p).select("prospect_id", (F.col("given") != 0).alias("gave"))
     return counted.join(gave, "prospect_id", "left").join(prospect_proposals(t, p), "prospect_id", "left")
 
 
-def _join_rows(officers: str, filed: str) -> Column:
+def _author_rows(officers: str, filed: str) -> str:
     """Rows of one author join: officers who filed, one shared row for those who did not, one if nobody qualifies."""
-    return F.greatest(F.col(filed) + (F.col(officers) > F.col(filed)).cast("bigint"), F.lit(1))
+    return f"greatest({filed} + if({officers} > {filed}, 1, 0), 1)"
 
 
 def fan_out_measures(cohort: DataFrame, t: Tables, p: ReportParams, own_rows_only: bool) -> DataFrame:
@@ -139,48 +128,39 @@ def fan_out_measures(cohort: DataFrame, t: Tables, p: ReportParams, own_rows_onl
     else:
         rows = pairs.join(prospects, "prospect_id")
 
-    one = F.lit(1)
     factors = {
-        "own": one if own_rows_only else _join_rows("officers", "filed"),
-        "pq": _join_rows("pq_officers", "pq_filed"),
-        "pm": _join_rows("pm_officers", "pm_filed"),
-        "pool": F.greatest(F.col("pool_rows"), one),
+        "own": "1" if own_rows_only else _author_rows("officers", "filed"),
+        "pq": _author_rows("pq_officers", "pq_filed"),
+        "pm": _author_rows("pm_officers", "pm_filed"),
+        "pool": "greatest(pool_rows, 1)",
     }
     # joined: joined rows of a cohort row; joined_but_x: the same with join x left out.
-    weights = {"joined": reduce(mul, factors.values(), F.col("rows"))}
+    weights = {"joined": " * ".join(["rows", *factors.values()])}
     for name in factors:
-        weights[f"joined_but_{name}"] = reduce(mul, [f for n, f in factors.items() if n != name], F.col("rows"))
-    rows = rows.withColumns(weights)
+        weights[f"joined_but_{name}"] = " * ".join(["rows", *[f for n, f in factors.items() if n != name]])
+    rows = rows.select("*", *_named(weights))
 
-    def tests_met(met: str, join: str) -> Column:
-        return F.sum(F.col(met) * F.col(f"joined_but_{join}"))
+    def tests_met(met: str, join: str) -> str:
+        return f"sum({met} * joined_but_{join})"
 
-    def flagged(test: Column, weight: str = "joined") -> Column:
-        return F.sum(F.when(test, F.col(weight)).otherwise(0))
+    def flagged(test: str, weight: str = "joined") -> str:
+        return f"sum(if({test}, {weight}, 0))"
 
     measures = {}
     for name, test in OWN_TESTS.items():
         measures[name] = flagged(_own_test(*test), "joined_but_own") if own_rows_only else tests_met(name, "own")
-    if own_rows_only:
-        # Officers without any report have no row to test for zero.
-        measures["unfiled"] = flagged(F.col("reports").isNull(), "joined_but_own")
-    for name in ANY_TESTS:
-        measures[name] = flagged(F.col(name))
-    for name in CAPACITY_TESTS:
-        measures[name] = tests_met(name, "pool")
-    measures["gave"] = flagged(F.col("gave"))
+    # Officers without any report have no row to test for zero in the team-member form.
+    measures["unfiled"] = flagged("reports IS NULL", "joined_but_own") if own_rows_only else "0L"
+    measures |= {name: flagged(name) for name in ANY_TESTS}
+    measures |= {name: tests_met(name, "pool") for name in CAPACITY_TESTS}
+    measures["gave"] = flagged("gave")
     for name, column in PROPOSAL_SUMS.items():
-        value = F.col(column) if name == "proposals_dropped_before_ask" else F.col(column) * F.col("prospect_rows")
-        measures[name] = F.sum(value * F.col("joined"))
+        times = "" if name == "proposals_dropped_before_ask" else " * prospect_rows"
+        measures[name] = f"sum({column}{times} * joined)"
     for name in PRIORITIES:
         measures[f"{name}_visited"] = tests_met(f"{name}_visited", name)
         measures[f"{name}_qualified"] = tests_met(f"{name}_qualified", name)
-    totals = rows.groupBy("officer_id").agg(*[m.alias(name) for name, m in measures.items()])
-    return totals if own_rows_only else totals.withColumn("unfiled", F.lit(0))
-
-
-def _with_share(name: str, size: str = "portfolio_size") -> list[Column]:
-    return [F.col(name), scalars.share(F.col(name), F.col(size)).alias(f"pct_{name}")]
+    return rows.groupBy("officer_id").agg(*_named(measures))
 
 
 def officer_scorecard(t: Tables, p: ReportParams, atype: str = "LM") -> DataFrame:
@@ -192,46 +172,45 @@ def officer_scorecard(t: Tables, p: ReportParams, atype: str = "LM") -> DataFram
     team = atype == "S"
     cohort = prospect_cohort(t, atype)
     other_role = role_size(t, "LM" if team else "S").withColumnRenamed("role_size", "other_size")
-    card = reduce(
+    counted = reduce(
         lambda left, right: left.join(right, "officer_id", "left"),
         [
-            fan_out_measures(cohort, t, p, own_rows_only=team),
-            other_role,
             outside_entities(cohort, t, p, anti=not team),
             stage_age_counts(cohort, t, p),
             proposal_age_counts(cohort, t, p),
         ],
         officer_portfolio(cohort, t, p).withColumnRenamed("portfolio_size", "own_size"),
-    )
-    size = F.col("own_size")
+    ).fillna(0, ["entities", "n_q_1y", "n_cu_1y", "n_so_1y", "n_rb_1y", "n_am_1y"])
+    card = counted.join(fan_out_measures(cohort, t, p, own_rows_only=team), "officer_id", "left")
+    card = card.join(other_role, "officer_id", "left")
 
-    def ratio(part: Column) -> Column:
-        return scalars.share(part, size)
+    def with_share(*names: str) -> dict[str, str]:
+        return {k: v for name in names for k, v in ((name, name), (f"pct_{name}", f"{name} / own_size"))}
 
-    def shared(*names: str) -> list[Column]:
-        return [c for name in names for c in _with_share(name, "own_size")]
-
-    stage_mix = []
+    stage_mix = {}
     for name, (count, aged) in STAGE_MIX.items():
-        stage_mix += [F.col(count).alias(name), ratio(F.col(count)).alias(f"pct_{name}")]
+        stage_mix |= {name: count, f"pct_{name}": f"{count} / own_size"}
         if aged:
-            stage_mix.append(ratio(_or_zero(f"{count}_1y")).alias(f"pct_{name}_1yr"))
+            stage_mix[f"pct_{name}_1yr"] = f"{count}_1y / own_size"
+
+    # An officer without proposals has null sums and null shares.
+    proposals = {"proposals": "proposals"}
+    for name in list(PROPOSAL_SUMS)[1:]:
+        proposals |= {name: name, f"pct_{name}": f"{name} / proposals"}
+    proposals |= {"pct_at_ask_planned_1yr": "n_rb_1y / proposals", "pct_at_ask_made_1yr": "n_am_1y / proposals"}
 
-    proposals = F.col("proposals")
+    def flag(test: str) -> Column:
+        return scalars.yes_no(F.expr(test))
 
-    def of_proposals(part: Column) -> Column:
-        return scalars.unless_zero(proposals, scalars.share(part, proposals))
+    def quartile(ratio: str) -> Column:
+        return scalars.quartile_label(F.expr(ratio))
 
-    by_priority = []
+    by_priority = {}
     for name in PRIORITIES:
-        priority_size = F.col(f"{name}_size")
-        by_priority.append(priority_size)
+        by_priority[f"{name}_size"] = f"{name}_size"
         for kind in ("visited", "qualified"):
-            count = scalars.unless_zero(priority_size, _or_zero(f"{name}_{kind}"))
-            by_priority += [
-                count.alias(f"{name}_{kind}"),
-                scalars.unless_zero(priority_size, count / priority_size).alias(f"pct_{name}_{kind}"),
-            ]
+            count = f"if({name}_size = 0, NULL, {name}_{kind})"
+            by_priority |= {f"{name}_{kind}": count, f"pct_{name}_{kind}": f"{count} / nullif({name}_size, 0)"}
 
     return card.select(
         "officer_name",
@@ -242,51 +221,43 @@ def officer_scorecard(t: Tables, p: ReportParams, atype: str = "LM") -> DataFram
         "years_as_officer",
         F.col("other_size" if team else "own_size").alias("portfolio_size"),
         F.col("own_size" if team else "other_size").alias("team_member_size"),
-        (F.col("n_st") + F.col("n_cu") + F.col("n_so")).alias("total_qualified"),
-        F.col("n_q").alias("total_to_be_qualified"),
-        *shared(
-            "ask_major_by_officer",
-            "ask_major_any",
-            "ask_any_by_officer",
-            "ask_special_by_officer",
-            "ask_any_any",
-            "ask_special_any",
-            "contacted_by_officer",
-            "visited_by_officer",
-            "visited_twice_by_officer",
-            "contacted_any",
-            "visited_any",
+        *_named({"total_qualified": "n_st + n_cu + n_so", "total_to_be_qualified": "n_q"}),
+        *_named(
+            with_share(
+                "ask_major_by_officer",
+                "ask_major_any",
+                "ask_any_by_officer",
+                "ask_special_by_officer",
+                "ask_any_any",
+                "ask_special_any",
+                "contacted_by_officer",
+                "visited_by_officer",
+                "visited_twice_by_officer",
+                "contacted_any",
+                "visited_any",
+            )
         ),
-        _or_zero("entities").alias("outside_entities"),
-        *shared(*CAPACITY_TESTS),
-        *shared("gave"),
-        *stage_mix,
-        *shared("documented_strategy"),
+        F.col("entities").alias("outside_entities"),
+        *_named(with_share(*CAPACITY_TESTS, "gave")),
+        *_named(stage_mix),
+        *_named(with_share("documented_strategy")),
         "dq_nn_nr_reports",
         "qualified_reports",
-        "proposals",
-        "proposals_ask_made",
-        of_proposals(F.col("proposals_ask_made")).alias("pct_proposals_ask_made"),
-        "proposals_dropped_before_ask",
-        of_proposals(F.col("proposals_dropped_before_ask")).alias("pct_proposals_dropped_before_ask"),
-        "proposals_closed",
-        of_proposals(F.col("proposals_closed")).alias("pct_proposals_closed"),
-        of_proposals(_or_zero("n_rb_1y")).alias("pct_at_ask_planned_1yr"),
-        of_proposals(_or_zero("n_am_1y")).alias("pct_at_ask_made_1yr"),
+        *_named(proposals),
         F.col("years_as_officer").cast("bigint").alias("years_floor"),
-        scalars.size_recommended(F.col("officer_type"), size, p).alias("size_recommended"),
-        scalars.yes_no(ratio(F.col("rated_ge_100k")) > 0.5).alias("rated_100k_over_half"),
-        scalars.yes_no(ratio(F.col("rated_lt_50k")) > 0.25).alias("rated_lt_50k_over_quarter"),
-        scalars.yes_no(ratio(F.col("n_q")) > 0.25).alias("qualification_over_quarter"),
-        scalars.yes_no(ratio(F.col("n_cu") + F.col("n_st")) >= 0.5).alias("cultivation_stewardship_half"),
-        scalars.yes_no(ratio(F.col("n_so")) >= 0.1).alias("solicitation_tenth"),
-        scalars.quartile_label(ratio(F.col("contacted_by_officer") + F.col("unfiled"))).alias("contact_quartile"),
-        scalars.quartile_label(ratio(F.col("visited_by_officer") + F.col("unfiled"))).alias("visit_quartile"),
-        scalars.quartile_label(ratio(F.col("ask_major_any"))).alias("ask_major_any_quartile"),
-        scalars.quartile_label(ratio(F.col("ask_special_by_officer") + F.col("unfiled"))).alias("ask_special_quartile"),
-        scalars.quartile_label(of_proposals(F.col("proposals_ask_made"))).alias("ask_made_quartile"),
-        scalars.quartile_label(of_proposals(F.col("proposals_closed"))).alias("closed_quartile"),
-        *by_priority,
+        scalars.size_recommended(F.col("officer_type"), F.col("own_size"), p).alias("size_recommended"),
+        flag("rated_ge_100k / own_size > 0.5D").alias("rated_100k_over_half"),
+        flag("rated_lt_50k / own_size > 0.25D").alias("rated_lt_50k_over_quarter"),
+        flag("n_q / own_size > 0.25D").alias("qualification_over_quarter"),
+        flag("(n_cu + n_st) / own_size >= 0.5D").alias("cultivation_stewardship_half"),
+        flag("n_so / own_size >= 0.1D").alias("solicitation_tenth"),
+        quartile("(contacted_by_officer + unfiled) / own_size").alias("contact_quartile"),
+        quartile("(visited_by_officer + unfiled) / own_size").alias("visit_quartile"),
+        quartile("ask_major_any / own_size").alias("ask_major_any_quartile"),
+        quartile("(ask_special_by_officer + unfiled) / own_size").alias("ask_special_quartile"),
+        quartile("proposals_ask_made / proposals").alias("ask_made_quartile"),
+        quartile("proposals_closed / proposals").alias("closed_quartile"),
+        *_named(by_priority),
         now(p).alias("date_pulled"),
         F.lit(window_label(p.window)).alias("date_range"),
     ).orderBy(F.col("officer_name").asc_nulls_last())
