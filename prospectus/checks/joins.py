@@ -9,7 +9,7 @@ from prospectus.checks.aggregates import ALL_BY_AUTHOR, FIRST_ASK, VISITS_TO_ASK
 from prospectus.checks.registry import check
 from prospectus.functions import predicates as is_
 from prospectus.operators import contacts, officers, proposals, stages
-from prospectus.operators.cohorts import all_assignments, om_cohort, prospect_cohort
+from prospectus.operators.cohorts import om_cohort, prospect_cohort
 from prospectus.operators.giving import primary_pool
 from prospectus.plans import flows
 from prospectus.plans.analysis import pool_sheet
@@ -104,8 +104,7 @@ def _(t, p):
 @check("jn_anti_left_null", s.with_cohort(s.entity_visits(True)))
 def _(t, p):
     cohort = prospect_cohort(t)
-    held = all_assignments(t, cohort).select("officer_id", "entity_id").dropna().distinct()
-    return contacts.officer_entity_visits(cohort, t, p).join(held, ["officer_id", "entity_id"], "left_anti")
+    return contacts.not_held(contacts.officer_entity_visits(cohort, t, p), t)
 
 
 @check(

@@ -82,20 +82,23 @@ def cohort_rows_per_prospect(cohort: DataFrame) -> DataFrame:
     return cohort.groupBy("prospect_id").agg(F.count("*").alias("rows"))
 
 
-def all_assignments(t: Tables, cohort: DataFrame) -> DataFrame:
-    """Distinct (officer, prospect, entity) held as manager or team member by the officers of the cohort."""
-    officers = cohort.select("officer_id").distinct()
+def held_entities(t: Tables) -> DataFrame:
+    """(officer, prospect, entity) of active manager and team assignments without a proposal; may repeat."""
     held = t.assignment.where(is_.is_assignment("S", "LM") & F.col("proposal_id").isNull())
-    held = held.select(F.col("assignment_id_number").alias("officer_id"), "prospect_id").distinct()
     entities = t.prospect_entity.select("prospect_id", F.col("id_number").alias("entity_id"))
     return (
-        held.join(officers, "officer_id", "left_semi")
+        held.select(F.col("assignment_id_number").alias("officer_id"), "prospect_id")
         .join(entities, "prospect_id", "left")
         .select("officer_id", "prospect_id", "entity_id")
-        .distinct()
     )
 
 
+def all_assignments(t: Tables, cohort: DataFrame) -> DataFrame:
+    """Distinct (officer, prospect, entity) held as manager or team member by the officers of the cohort."""
+    officers = cohort.select("officer_id").distinct()
+    return held_entities(t).join(officers, "officer_id", "left_semi").distinct()
+
+
 def proposal_cohort(t: Tables, p: ReportParams) -> DataFrame:
     """Major-gift proposals that are open or stopped since ``stop_from``, once per distinct active manager.
 

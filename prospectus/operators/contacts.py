@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospectus.functions import predicates as is_
-from prospectus.operators.cohorts import all_assignments, cohort_pairs, cohort_rows_per_prospect
+from prospectus.operators.cohorts import cohort_pairs, cohort_rows_per_prospect, held_entities
 from prospectus.operators.ranking import latest_by, with_next_event
 from prospectus.params import ReportParams
 from prospectus.sources.tables import Tables
@@ -208,12 +208,17 @@ def officer_entity_visits(cohort: DataFrame, t: Tables, p: ReportParams) -> Data
     )
 
 
+def not_held(visited: DataFrame, t: Tables) -> DataFrame:
+    """Rows whose entity the officer does not hold. Neither distinct holdings nor the cohort are needed to tell."""
+    held = held_entities(t).select("officer_id", "entity_id")
+    return visited.join(held, ["officer_id", "entity_id"], "left_anti")
+
+
 def outside_entities(cohort: DataFrame, t: Tables, p: ReportParams, anti: bool = True) -> DataFrame:
     """Entities visited per officer, without those the officer holds unless ``anti`` is off."""
     visited = officer_entity_visits(cohort, t, p)
     if anti:
-        held = all_assignments(t, cohort).select("officer_id", "entity_id").dropna().distinct()
-        visited = visited.join(held, ["officer_id", "entity_id"], "left_anti")
+        visited = not_held(visited, t)
     return visited.groupBy("officer_id").agg(F.count("*").alias("entities"))
 
 
