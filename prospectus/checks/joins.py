@@ -10,6 +10,7 @@ from prospectus.checks.registry import check
 from prospectus.functions import predicates as is_
 from prospectus.operators import contacts, officers, proposals, stages
 from prospectus.operators.cohorts import om_cohort, prospect_cohort
+from prospectus.operators.fan_out import fan_out_join
 from prospectus.operators.giving import primary_pool
 from prospectus.plans import flows
 from prospectus.plans.analysis import pool_sheet
@@ -161,7 +162,8 @@ def _(t, p):
 def _(t, p):
     cohort = prospect_cohort(t, named=False, require_active_staff=False, start="assigned")
     rows = cohort.select("prospect_id", "officer_id", "priority_code")
-    return rows.join(contacts.contacts_by_officer(cohort, t, p), "prospect_id", "left")
+    authors = contacts.contacts_by_officer(cohort, t, p)
+    return fan_out_join(rows, authors, key="prospect_id", sized_by=(rows, rows))
 
 
 @check(

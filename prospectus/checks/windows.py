@@ -8,7 +8,7 @@ from prospectus.checks import sqltext as s
 from prospectus.checks.cohorts import PROPOSAL_COHORT
 from prospectus.checks.registry import check
 from prospectus.operators import contacts, giving, officers, proposals, stages
-from prospectus.operators.cohorts import prospect_cohort, proposal_cohort
+from prospectus.operators.cohorts import listed_proposals, prospect_cohort
 from prospectus.operators.ranking import latest_by
 
 
@@ -78,7 +78,7 @@ LEFT JOIN staff st ON st.id_number = lead_id WHERE place = 1
     f"SELECT * FROM ({LEADS}) WHERE proposal_id IN (SELECT proposal_id FROM ({PROPOSAL_COHORT}))",
 )
 def _(t, p):
-    return proposals.lead_solicitors(t).join(proposal_cohort(t, p), "proposal_id", "left_semi")
+    return proposals.lead_solicitors(t).join(listed_proposals(t, p), "proposal_id", "left_semi")
 
 
 @check("win_next_stage_date", f"SELECT proposal_id, stage_code, stage_date, next_date, count(*) AS entries "
@@ -203,7 +203,7 @@ def _(t, p):
     WHERE proposal_id IN (SELECT proposal_id FROM ({PROPOSAL_COHORT})) GROUP BY ALL""",
 )
 def _(t, p):
-    spans = stages.proposal_stage_intervals(t, proposal_cohort(t, p))
+    spans = stages.proposal_stage_intervals(t, listed_proposals(t, p))
     return spans.groupBy("proposal_id", "stage_date", "next_date").agg(F.sum("entries").alias("entries"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prospectus.functions import predicates as is_
 from prospectus.functions.scalars import fiscal_year
+from prospectus.operators.fan_out import fan_out_join
 from prospectus.params import ReportParams
 from prospectus.sources.tables import Tables
 
@@ -99,11 +100,28 @@ def all_assignments(t: Tables, cohort: DataFrame) -> DataFrame:
     return held_entities(t).join(officers, "officer_id", "left_semi").distinct()
 
 
-def proposal_cohort(t: Tables, p: ReportParams) -> DataFrame:
-    """Major-gift proposals that are open or stopped since ``stop_from``, once per distinct active manager.
+def listed_proposals(t: Tables, p: ReportParams) -> DataFrame:
+    """Major-gift proposals that are open or stopped since ``stop_from``, with their own names and labels."""
+    status = t.tms_proposal_status.withColumnRenamed("short_desc", "proposal_status_desc")
+    stages = t.tms_proposal_stage.select(
+        F.col("stage_code").alias("current_stage"), F.col("short_desc").alias("current_stage_desc")
+    )
+    return (
+        t.proposal.where(is_.is_major_gift() & is_.open_or_stopped_since("stop_date", p.stop_from))
+        .withColumnRenamed("stage_code", "current_stage")
+        .withColumn("fiscal_year", fiscal_year("stop_date", p))
+        .join(status, "proposal_status_code", "left")
+        .join(stages, "current_stage", "left")
+        .drop("date_added", "anticipated_amt")
+    )
+
+
+def with_managers(proposals: DataFrame, t: Tables) -> DataFrame:
+    """Proposals with their prospect's profile, once per distinct active manager of the prospect.
 
     Every side is made distinct on what it contributes before the join. With the proposal key in the row the result is
-    distinct by itself, which saves a shuffle of the full-width rows.
+    distinct by itself, which saves a shuffle of the full-width rows. This is the join that multiplies rows, so whatever
+    else a proposal needs is joined before it.
     """
     managers = (
         t.assignment.where(is_.is_assignment("LM"))
@@ -135,45 +153,37 @@ def proposal_cohort(t: Tables, p: ReportParams) -> DataFrame:
         .drop("id_number")
         .distinct()
     )
-    # One side per prospect, so that a prospect with very many proposals is met by a single join that can be split.
     sides = entities.join(managers, "prospect_id", "full_outer")
-    status = t.tms_proposal_status.withColumnRenamed("short_desc", "proposal_status_desc")
-    stages = t.tms_proposal_stage.select(
-        F.col("stage_code").alias("current_stage"), F.col("short_desc").alias("current_stage_desc")
-    )
-    return (
-        t.proposal.where(is_.is_major_gift() & is_.open_or_stopped_since("stop_date", p.stop_from))
-        .withColumnRenamed("stage_code", "current_stage")
-        .withColumn("fiscal_year", fiscal_year("stop_date", p))
-        .join(status, "proposal_status_code", "left")
-        .join(stages, "current_stage", "left")
-        .join(sides, "prospect_id", "left")
-        .select(
-            "proposal_id",
-            "prospect_id",
-            "prospect_name",
-            "priority_code",
-            "assignment_type",
-            "rm_number",
-            "rm_name",
-            "proposal_type",
-            "active_ind",
-            "proposal_status_code",
-            "proposal_status_desc",
-            "current_stage",
-            "current_stage_desc",
-            "start_date",
-            "stop_date",
-            "fiscal_year",
-            "proposal_title",
-            "original_ask_amt",
-            "ask_amt",
-            "granted_amt",
-            "initial_contribution_date",
-            "plan_gift_ind",
-            "unit_code",
-            "expected_date",
-            "high_ucdt_or_capacity",
-            "abs_high_capacity_ucdt_asks",
-        )
+    return fan_out_join(proposals, sides, key="prospect_id")
+
+
+def proposal_cohort(t: Tables, p: ReportParams) -> DataFrame:
+    """Listed proposals, once per distinct active manager."""
+    return with_managers(listed_proposals(t, p), t).select(
+        "proposal_id",
+        "prospect_id",
+        "prospect_name",
+        "priority_code",
+        "assignment_type",
+        "rm_number",
+        "rm_name",
+        "proposal_type",
+        "active_ind",
+        "proposal_status_code",
+        "proposal_status_desc",
+        "current_stage",
+        "current_stage_desc",
+        "start_date",
+        "stop_date",
+        "fiscal_year",
+        "proposal_title",
+        "original_ask_amt",
+        "ask_amt",
+        "granted_amt",
+        "initial_contribution_date",
+        "plan_gift_ind",
+        "unit_code",
+        "expected_date",
+        "high_ucdt_or_capacity",
+        "abs_high_capacity_ucdt_asks",
     )

@@ -24,7 +24,7 @@ def proposal_stage_intervals(t: Tables, proposals: DataFrame | None = None) -> D
         .agg(F.count("*").alias("entries"))
     )
     if proposals is not None:
-        history = history.join(proposals.select("proposal_id").distinct(), "proposal_id", "left_semi")
+        history = history.join(proposals.select("proposal_id"), "proposal_id", "left_semi")
     dates = history.where(F.col("stage_date").isNotNull()).select("proposal_id", "stage_date").distinct()
     dates = dates.withColumn("_event", F.col("stage_date"))
     following = with_next_event(dates, ["proposal_id"], "stage_date", "_event", "next_date", include_self=False)

@@ -16,6 +16,7 @@ from prospectus.operators.contacts import (
     last_qualification,
     per_author,
 )
+from prospectus.operators.fan_out import fan_out_join
 from prospectus.operators.giving import last_annual_fund_gift, last_gift, primary_pool
 from prospectus.operators.proposals import max_planned_ask_date
 from prospectus.params import ReportParams
@@ -47,7 +48,8 @@ def portfolio_analysis(t: Tables, p: ReportParams) -> DataFrame:
     """
     cohort = prospect_cohort(t, named=False, require_active_staff=False, start="fallback")
     tallies = kept_whole(coverage_tallies(t, p, days_earlier=1))
-    held = by_cohort_officer(cohort_pairs(cohort), tallies)
+    pairs = cohort_pairs(cohort)
+    held = by_cohort_officer(pairs, tallies)
 
     own = per_author(held, _ALL_TIME, F.col("contacts").isNotNull(), dates=("latest_visit",))
     own = own.drop("author_id").withColumnsRenamed(
@@ -89,9 +91,8 @@ def portfolio_analysis(t: Tables, p: ReportParams) -> DataFrame:
         .join(anyone, "prospect_id", "left")
         .join(qualified, "prospect_id", "left")
         .join(pool_sheet(t), "prospect_id", "left")
-        .join(own, "prospect_id", "left")
-        .join(own_recent, "prospect_id", "left")
     )
+    sheet = fan_out_join(sheet, own, own_recent, key="prospect_id", sized_by=(cohort, pairs, pairs))
     held_since, today = F.col("start_date"), now(p)
     sheet = sheet.withColumn("years_as_rm", rounded_years(held_since, today))
     sheet = sheet.withColumn("_verdict", assessment(F.col("years_as_rm"), p))

@@ -9,6 +9,7 @@ from prospectus.functions import predicates as is_
 from prospectus.functions.dates import now, rounded_years
 from prospectus.operators.cohorts import om_cohort
 from prospectus.operators.contacts import first_ask, visits_by_author, visits_to_ask
+from prospectus.operators.fan_out import fan_out_join
 from prospectus.operators.giving import primary_pool
 from prospectus.params import ReportParams, window_label
 from prospectus.sources.tables import Tables
@@ -22,11 +23,9 @@ def om_proposals(t: Tables, p: ReportParams) -> DataFrame:
     """Major-gift proposals of managed prospects, once per cohort row of the prospect."""
     pool = primary_pool(t).select("prospect_id", "abs_high_capacity_ucdt_asks", "abs_high_capacity_ucdt_ask_lvl")
     proposals = t.proposal.where(is_.is_major_gift() & is_.in_window("start_date", p.om_window))
+    held = om_cohort(t, p).select("prospect_id").join(pool, "prospect_id", "left")
     return (
-        om_cohort(t, p)
-        .select("prospect_id")
-        .join(pool, "prospect_id", "left")
-        .join(proposals, "prospect_id")
+        fan_out_join(proposals, held, key="prospect_id", how="inner")
         .select(
             "proposal_id",
             "prospect_id",
@@ -78,11 +77,13 @@ def om_prospects(t: Tables, p: ReportParams) -> DataFrame:
     ask_dates = asks.select("prospect_id", "ask_date")
     sizes = om_officer_sizes(cohort).select("officer_id", "portfolio_size")
     started = F.col("start_date")
-    return (
+    rows = (
         cohort.join(visits_to_ask(asks), "prospect_id", "left")
-        .join(ask_dates, "prospect_id", "left")
         .join(removed_by_rm(cohort, t, p), "officer_name", "left")
         .join(sizes, "officer_id", "left")
+    )
+    return (
+        fan_out_join(rows, ask_dates, key="prospect_id", sized_by=(cohort, cohort))
         .select(
             "prospect_id",
             F.col("officer_name").alias("rm_name"),

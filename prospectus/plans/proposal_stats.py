@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prospectus.functions.dates import now
 from prospectus.functions.predicates import PROPOSAL_STAGES
 from prospectus.functions.scalars import safe_ratio
-from prospectus.operators.cohorts import proposal_cohort
+from prospectus.operators.cohorts import listed_proposals, with_managers
 from prospectus.operators.proposals import lead_solicitors
 from prospectus.operators.stages import stage_days
 from prospectus.params import ReportParams
@@ -16,11 +16,13 @@ from prospectus.sources.tables import Tables
 
 
 def proposal_stats(t: Tables, p: ReportParams) -> DataFrame:
-    proposals = proposal_cohort(t, p)
+    proposals = listed_proposals(t, p)
+    detailed = proposals.join(lead_solicitors(t), "proposal_id", "left").join(
+        stage_days(t, p, proposals), "proposal_id", "left"
+    )
     asked = F.col("ask_amt")
     return (
-        proposals.join(lead_solicitors(t), "proposal_id", "left")
-        .join(stage_days(t, p, proposals), "proposal_id", "left")
+        with_managers(detailed, t)
         .select(
             "proposal_id",
             "proposal_type",

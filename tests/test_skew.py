@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from prospectus.operators.fan_out import crowded_keys, deal_out, fan_out_join
 from prospectus.operators.ranking import latest_by, with_next_event
 from prospectus.params import ReportParams
 from prospectus.plans import portfolio_percents
@@ -56,6 +57,22 @@ def test_coverage_of_a_crowded_prospect(crowded):
     assert {(r.visited_by_rm, r.visited_by_anyone) for r in rows} == {(authors * (authors - 1), authors * authors)}
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_fan_out_join_is_the_plain_join_in_parts(spark, how):
+    rng = random.Random(3)
+    keys = [1] * 60 + [2, 2, 3, None, 4]
+    first = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k int, a int")
+    second = spark.createDataFrame([(k, rng.randrange(9)) for k in [1] * 40 + [2, 3, 3, 5, None]], "k int, b int")
+    third = spark.createDataFrame([(k, rng.randrange(9)) for k in [1, 1, 2]], "k int, c int")
+    crowded = crowded_keys("k", first, second, third, rows_per_part=500).collect()
+    assert [tuple(r) for r in crowded] == [(1, 10)]
+    parts = deal_out(first, crowded_keys("k", first, second, third, rows_per_part=500), "k").where("k = 1")
+    assert parts.select("_part").distinct().count() > 5
+    split = fan_out_join(first, second, third, key="k", how=how, rows_per_part=500)
+    plain = first.join(second, "k", how).join(third, "k", how)
+    assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
+
+
 @pytest.mark.parametrize("include_self", [True, False])
 def test_next_event_agrees_with_a_search(spark, include_self):
     rng = random.Random(7)
