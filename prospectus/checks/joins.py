@@ -14,7 +14,6 @@ from prospectus.operators.fan_out import fan_out_join
 from prospectus.operators.giving import primary_pool
 from prospectus.plans import flows
 from prospectus.plans.analysis import pool_sheet
-from prospectus.sources.staged import STAGED_PARAMS as P
 
 
 @check(

@@ -1,4 +1,4 @@
-"""Hot keys: exact results where the row-by-row form would build billions of rows."""
+"""Hot keys: exact results where the row-by-row form would build hundreds of millions of rows."""
 
 from __future__ import annotations
 

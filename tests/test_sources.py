@@ -32,7 +32,8 @@ def test_unknown_table(spark):
 
 
 def test_conform_keeps_typed_columns_and_casts_others(spark):
-    raw = spark.range(1).select(F.lit("7").alias("PROSPECT_ID"), F.lit("").alias("id_number"), F.lit("Y").alias("primary_ind"))
+    values = {"PROSPECT_ID": "7", "id_number": "", "primary_ind": "Y"}
+    raw = spark.range(1).select(*[F.lit(v).alias(c) for c, v in values.items()])
     row = conform(raw, "prospect_entity", empty_as_null=True).first()
     assert (row.prospect_id, row.id_number, row.primary_ind) == (7, None, "Y")
 
