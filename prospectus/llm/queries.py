@@ -7,11 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prospectus.llm.ann import neighbours
 from prospectus.llm.common import table
+from prospectus.llm.licenses import TEMPLATES, license_scan, size_bounds, template_bigrams
+from prospectus.llm.line_dedup import without_near_lines
 from prospectus.llm.mixing import SEED, WEIGHTS, mixed
 from prospectus.llm.packing import packed
+from prospectus.llm.quality import quality_scores
+from prospectus.llm.sharding import resharded
 from prospectus.llm.simhash import simhash_components
 from prospectus.llm.token_counts import with_token_counts
+from prospectus.llm.vector_dedup import vector_components
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +30,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is left of its text."""
+    return without_near_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text."""
     return with_token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -30,19 +46,42 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document, by nearly equal bytes."""
+    rows = resharded(table(spark, sf_dir, "documents"))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return rows.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vector_components(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences of every document."""
+    return license_scan(table(spark, sf_dir, "documents")).select("doc_id", "license", "dice", "line", "n_findings")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op2_mixing, op4_token_counts, op5_packing, op9_simhash)}
+    found = (op1_quality, op2_mixing, op3_line_dedup, op4_token_counts, op5_packing, op6_neighbours, op7_sharding, op8_vector_dedup, op9_simhash, op10_licenses)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same rows, by the query's name."""
-    return {"op2_mixing": MIXING}
+    return {"op2_mixing": MIXING, "op10_licenses": LICENSES}
 
 
 _NAMED = ", ".join(f"('{name}', {share!r}::DOUBLE)" for name, share in sorted(WEIGHTS.items()))
@@ -72,3 +111,47 @@ SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,
        ('0x' || substr(md5('{SEED}|order|' || coalesce(doc_id::VARCHAR, '') || '|' || copy), 1, 12))::BIGINT AS shuffle_key
 FROM copies
 """
+
+
+def _license_rows(threshold: float = 0.8) -> str:
+    """The templates' bigrams with their size bounds, as rows."""
+    rows = []
+    for rank, (name, text) in enumerate(sorted(TEMPLATES.items())):
+        own = template_bigrams(text)
+        least, most = size_bounds(len(own), threshold)
+        words = ", ".join("'" + word.replace("'", "''") + "'" for word in own)
+        rows.append(f"({rank}, '{name}', {len(own)}, {least}, {most}, [{words}])")
+    return ", ".join(rows)
+
+
+#: Lines and whole texts as rows, each joined with the templates that its size allows.
+LICENSES = rf"""
+WITH templates(rank, license, n, least, most, bigrams) AS (VALUES {_license_rows()}),
+cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+clean AS (
+  SELECT doc_id, list_transform(parts, lambda l: trim(regexp_replace(lower(l), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))) AS parts FROM cut
+),
+units AS (
+  SELECT doc_id, unnest(parts) AS unit, (unnest(range(1, len(parts) + 1)) - 1)::INTEGER AS line FROM clean
+  UNION ALL
+  SELECT doc_id, array_to_string(list_filter(parts, lambda l: l <> ''), ' '), -1 FROM clean WHERE len(parts) > 1
+),
+worded AS (SELECT doc_id, line, string_split(unit, ' ') AS words FROM units WHERE unit <> ''),
+paired AS (
+  SELECT doc_id, line, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS bigrams FROM worded
+),
+compared AS (
+  SELECT p.doc_id, p.line, t.rank, t.license, 2.0::DOUBLE * len(list_intersect(p.bigrams, t.bigrams)) / (len(p.bigrams) + t.n) AS dice
+  FROM paired p JOIN templates t ON len(p.bigrams) BETWEEN t.least AND t.most
+),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, rank) AS nth FROM compared WHERE dice >= 0.8
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, rank, CASE WHEN line < 0 THEN 2147483647 ELSE line END) AS place,
+         count(*) OVER (PARTITION BY doc_id) AS n_findings
+  FROM best WHERE nth = 1
+)
+SELECT d.doc_id, r.license, r.dice, r.line, coalesce(r.n_findings, 0)::INTEGER AS n_findings
+FROM documents d LEFT JOIN ranked r ON d.doc_id = r.doc_id AND r.place = 1
+"""
