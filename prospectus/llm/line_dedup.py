@@ -157,7 +157,8 @@ def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 def participating(docs: DataFrame, min_chars: int) -> DataFrame:
     """``row``, ``doc``, ``at`` (from 0) and ``line`` of each line of at least ``min_chars`` characters."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), doc, F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), doc, "text")  # numbered before lines are taken apart
+    lines = rows.select("row", "doc", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return lines.where(F.length("line") >= min_chars)
 
 
