@@ -249,11 +249,10 @@ def _(t, p):
 
 @check(
     "agg_distinct",
-    "SELECT assignment_id_number, assignment_type, priority_code FROM assignment WHERE active_ind = 'Y' GROUP BY ALL",
+    "SELECT assignment_id_number, assignment_type, priority_code FROM assignment GROUP BY ALL",
 )
 def _(t, p):
-    held = t.assignment.where("active_ind = 'Y'")
-    return held.select("assignment_id_number", "assignment_type", "priority_code").distinct()
+    return t.assignment.select("assignment_id_number", "assignment_type", "priority_code").distinct()
 
 
 # The officer counts of the scorecard, checked again without the identity and label columns.

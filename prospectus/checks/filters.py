@@ -141,7 +141,7 @@ def _(t, p):
     "flt_giving_ind",
     """SELECT id_number, prog_hier_num = '1' AS annual_fund, count(*) AS gifts,
     CAST(sum(prim_amt) AS DECIMAL(28,2)) AS amount FROM ucdr_giving
-    WHERE giving_ind <> 'M' AND giving_ind IS NOT NULL GROUP BY ALL""",
+    WHERE giving_ind IN ('P', 'G') GROUP BY ALL""",
 )
 def _(t, p):
     return (
@@ -218,13 +218,13 @@ def _(t, p):
 
 @check(
     "flt_stage_code",
-    f"""SELECT proposal_id, prospect_id, stage_code, stage_code IN ('AM', 'DN', 'GC', 'PL', 'ST') AS ask_made,
+    """SELECT proposal_id, prospect_id, stage_code, stage_code IN ('AM', 'DN', 'GC', 'PL', 'ST') AS ask_made,
     stage_code IN ('GC', 'PL', 'ST') AS closed, stage_code IN ('AM', 'GC', 'DN', 'ST') AS asked_in_history
-    FROM proposal WHERE stage_code <> 'RB' AND start_date >= {s.stamp(P.window[0])}""",
+    FROM proposal""",
 )
 def _(t, p):
     stage = F.col("stage_code")
-    return t.proposal.where((stage != "RB") & (F.col("start_date") >= ts(p.window[0]))).select(
+    return t.proposal.select(
         "proposal_id",
         "prospect_id",
         "stage_code",

@@ -90,15 +90,15 @@ def _(t, p):
 
 @check(
     "jn_range_one_sided",
-    s.with_cohort(f"SELECT * FROM ({FIRST_ASK}) WHERE ask_date IS NOT NULL", s.OM),
+    s.with_cohort(FIRST_ASK, s.OM),
 )
 def _(t, p):
-    return contacts.first_ask(om_cohort(t, p), t).where("ask_date IS NOT NULL").drop("visits")
+    return contacts.first_ask(om_cohort(t, p), t).drop("visits")
 
 
-@check("jn_range_two_sided", s.with_cohort(f"SELECT * FROM ({VISITS_TO_ASK}) WHERE visits > 0", s.OM))
+@check("jn_range_two_sided", s.with_cohort(VISITS_TO_ASK, s.OM))
 def _(t, p):
-    return contacts.visits_to_ask(contacts.first_ask(om_cohort(t, p), t)).where("visits > 0")
+    return contacts.visits_to_ask(contacts.first_ask(om_cohort(t, p), t))
 
 
 @check("jn_anti_left_null", s.with_cohort(s.entity_visits(True)))
@@ -110,7 +110,7 @@ def _(t, p):
 @check(
     "jn_semi_in",
     f"""SELECT prospect_id FROM prospect WHERE {s.within('stop_date')} AND prospect_id IN
-    (SELECT r.prospect_id FROM contact_report r WHERE r.contact_outcome IN ('DQ', 'NN'))""",
+    (SELECT r.prospect_id FROM contact_report r WHERE r.contact_outcome IN ('NN', 'DQ'))""",
 )
 def _(t, p):
     return flows.dropped_after_outcome(t, p)
@@ -120,7 +120,7 @@ def _(t, p):
     "jn_anti_not_in",
     f"""SELECT proposal_id, prospect_id FROM proposal WHERE starts_with(proposal_type, 'MG')
     AND {s.within('start_date')} AND proposal_id NOT IN (SELECT pl.proposal_id FROM proposal pl
-      JOIN stage h ON h.proposal_id = pl.proposal_id WHERE h.stage_code IN ('AM', 'DN', 'GC', 'ST')
+      JOIN stage h ON h.proposal_id = pl.proposal_id WHERE h.stage_code IN ('AM', 'GC', 'DN', 'ST')
       AND {s.within('pl.date_added')})""",
 )
 def _(t, p):
@@ -139,10 +139,10 @@ def _(t, p):
     f.date_of_record AS af_last_date, f.prim_amt AS af_last_amt FROM ucdr_prospect_pool pool
     LEFT JOIN (SELECT id_number, date_of_record,
         row_number() OVER (PARTITION BY id_number ORDER BY date_of_record DESC NULLS FIRST) AS place
-        FROM ucdr_giving WHERE giving_ind IN ('G', 'P')) g ON g.id_number = pool.id_number AND g.place = 1
+        FROM ucdr_giving WHERE giving_ind IN ('P', 'G')) g ON g.id_number = pool.id_number AND g.place = 1
     LEFT JOIN (SELECT id_number, date_of_record, prim_amt, row_number() OVER (PARTITION BY id_number
         ORDER BY date_of_record DESC NULLS FIRST, prim_amt DESC NULLS FIRST) AS place
-        FROM ucdr_giving WHERE giving_ind IN ('G', 'P') AND prog_hier_num = '1') f
+        FROM ucdr_giving WHERE giving_ind IN ('P', 'G') AND prog_hier_num = '1') f
       ON f.id_number = pool.id_number AND f.place = 1
     WHERE pool.prim_prosp_ind = 'Y'""",
 )

@@ -36,7 +36,7 @@ check(
     f"""SELECT count(*) AS dropped_nn_dq FROM (SELECT DISTINCT pr.prospect_id FROM prospect pr
     LEFT JOIN assignment asg ON asg.prospect_id = pr.prospect_id AND asg.assignment_type = 'LM'
     WHERE {s.within('pr.stop_date')} AND EXISTS (SELECT 1 FROM contact_report r
-      WHERE r.prospect_id = pr.prospect_id AND r.contact_outcome IN ('DQ', 'NN')))""",
+      WHERE r.prospect_id = pr.prospect_id AND r.contact_outcome IN ('NN', 'DQ')))""",
 )(lambda t, p: plans.dropped_nn_dq(t, p))
 check("report_om_visits", f"SELECT *, {OM_STAMP} FROM ({VISITS_BY_AUTHOR})")(lambda t, p: plans.om_visits(t, p))
 check(
@@ -131,7 +131,7 @@ def _decide(values: list[str | None]) -> str:
 
 def _newest_gift(columns: str, test: str, tie: str = "") -> str:
     return (
-        f"SELECT id_number, {columns} FROM ucdr_giving WHERE giving_ind IN ('G', 'P') {test} QUALIFY row_number() OVER "
+        f"SELECT id_number, {columns} FROM ucdr_giving WHERE giving_ind IN ('P', 'G') {test} QUALIFY row_number() OVER "
         f"(PARTITION BY id_number ORDER BY date_of_record DESC NULLS FIRST{tie}) = 1"
     )
 
@@ -175,7 +175,7 @@ ANALYSIS = s.with_cohort(
     LEFT JOIN ({_newest_gift('date_of_record, prim_amt', "AND prog_hier_num = '1'", ', prim_amt DESC NULLS FIRST')}) af
       ON af.id_number = pool.id_number
     LEFT JOIN (SELECT prospect_id, contact_outcome, contact_date FROM contact_report
-               WHERE contact_outcome NOT IN (' ', 'DU', 'QO') QUALIFY row_number() OVER (PARTITION BY prospect_id
+               WHERE contact_outcome NOT IN ('DU', 'QO', ' ') QUALIFY row_number() OVER (PARTITION BY prospect_id
                ORDER BY contact_date DESC NULLS FIRST, contact_outcome DESC NULLS FIRST) = 1) mg
       ON mg.prospect_id = c.prospect_id""",
     s.MANAGED_FALLBACK,

@@ -77,11 +77,11 @@ def _(t, p):
 @check(
     "scl_days_over_12",
     f"""SELECT assignment_id_number, prospect_id, start_date, {s.days('start_date', s.NOW)} / 12 < 18 AS recent
-    FROM assignment WHERE active_ind = 'Y'""",
+    FROM assignment""",
 )
 def _(t, p):
     recent = dates.days_between(F.col("start_date"), dates.now(p)) / 12 < 18
-    return t.assignment.where(is_.is_active()).select(
+    return t.assignment.select(
         "assignment_id_number", "prospect_id", "start_date", recent.alias("recent")
     )
 

@@ -30,12 +30,12 @@ def visit(a: str) -> str:
 
 
 def contact(a: str) -> str:
-    return f"{a}.contact_type IN ('1', 'C', 'P', 'V')"
+    return f"{a}.contact_type IN ('C', 'V', 'P', '1')"
 
 
 def purpose(a: str, *codes: str) -> str:
     listed = ", ".join(f"'{c}'" for c in codes)
-    return f"({a}.contact_purpose_code IN ({listed}) AND {a}.contact_type IN ('C', 'P', 'V'))"
+    return f"({a}.contact_purpose_code IN ({listed}) AND {a}.contact_type IN ('V', 'C', 'P'))"
 
 
 def days(start: str, end: str) -> str:
@@ -214,7 +214,7 @@ WHERE starts_with(pl.proposal_type, 'MG') AND {within('pl.start_date')}
   AND EXISTS (SELECT 1 FROM stage h WHERE h.proposal_id = pl.proposal_id AND h.stage_code = 'DP')
   AND {within('pl.date_added')}
   AND NOT EXISTS (SELECT 1 FROM stage h WHERE h.proposal_id = pl.proposal_id
-                  AND h.stage_code IN ('AM', 'DN', 'GC', 'ST'))
+                  AND h.stage_code IN ('AM', 'GC', 'DN', 'ST'))
 """
 
 PROPOSALS = f"""
@@ -229,7 +229,7 @@ WHERE starts_with(pl.proposal_type, 'MG') AND {within('pl.start_date')} GROUP BY
 ALL_ASSIGNMENTS = """
 SELECT DISTINCT asg.assignment_id_number AS officer_id, asg.prospect_id, pe.id_number AS entity_id
 FROM assignment asg LEFT JOIN prospect_entity pe ON pe.prospect_id = asg.prospect_id
-WHERE asg.active_ind = 'Y' AND asg.proposal_id IS NULL AND asg.assignment_type IN ('LM', 'S')
+WHERE asg.active_ind = 'Y' AND asg.proposal_id IS NULL AND asg.assignment_type IN ('S', 'LM')
   AND asg.assignment_id_number IN (SELECT officer_id FROM cohort)
 """
 

@@ -32,7 +32,7 @@ def _newest_gift(columns: str, order: str, test: str) -> str:
 
 @check(
     "win_last_gift",
-    _newest_gift("date_of_record AS last_gift_date", "g.date_of_record DESC NULLS FIRST", "g.giving_ind IN ('G', 'P')"),
+    _newest_gift("date_of_record AS last_gift_date", "g.date_of_record DESC NULLS FIRST", "g.giving_ind IN ('P', 'G')"),
 )
 def _(t, p):
     return giving.last_gift(t).join(_cohort_entities(t), "id_number", "left_semi")
@@ -43,7 +43,7 @@ def _(t, p):
     _newest_gift(
         "date_of_record AS af_last_date, prim_amt AS af_last_amt",
         "g.date_of_record DESC NULLS FIRST, g.prim_amt DESC NULLS FIRST",
-        "g.giving_ind IN ('G', 'P') AND g.prog_hier_num = '1'",
+        "g.giving_ind IN ('P', 'G') AND g.prog_hier_num = '1'",
     ),
 )
 def _(t, p):
@@ -56,7 +56,7 @@ def _(t, p):
         """SELECT prospect_id, contact_outcome, contact_date FROM (SELECT r.*, row_number() OVER (
         PARTITION BY r.prospect_id ORDER BY r.contact_date DESC NULLS FIRST, r.contact_outcome DESC NULLS FIRST)
         AS place FROM cohort c JOIN contact_report r ON r.prospect_id = c.prospect_id
-        WHERE r.contact_outcome NOT IN (' ', 'DU', 'QO')) WHERE place = 1""",
+        WHERE r.contact_outcome NOT IN ('DU', 'QO', ' ')) WHERE place = 1""",
         s.MANAGED_FALLBACK,
     ),
 )

@@ -116,16 +116,18 @@ def listed_proposals(t: Tables, p: ReportParams) -> DataFrame:
     )
 
 
-def with_managers(proposals: DataFrame, t: Tables) -> DataFrame:
-    """Proposals with their prospect's profile, once per distinct active manager of the prospect.
+def with_managers(proposals: DataFrame, t: Tables, p: ReportParams) -> DataFrame:
+    """Listed proposals with their prospect's profile, once per distinct active manager of the prospect.
 
     Every side is made distinct on what it contributes before the join. With the proposal key in the row the result is
     distinct by itself, which saves a shuffle of the full-width rows. This is the join that multiplies rows, so whatever
     else a proposal needs is joined before it.
     """
+    listed = t.proposal.where(is_.is_major_gift() & is_.open_or_stopped_since("stop_date", p.stop_from))
+    held = t.assignment.where(is_.is_assignment("LM") & F.col("prospect_id").isNotNull())
+    primary = t.prospect_entity.where(is_.is_primary("primary_ind") & F.col("prospect_id").isNotNull())
     managers = (
-        t.assignment.where(is_.is_assignment("LM"))
-        .select("prospect_id", "priority_code", "assignment_type", F.col("assignment_id_number").alias("_holder"))
+        held.select("prospect_id", "priority_code", "assignment_type", F.col("assignment_id_number").alias("_holder"))
         .distinct()
         .join(
             t.staff.where(is_.is_active()).select(
@@ -138,8 +140,7 @@ def with_managers(proposals: DataFrame, t: Tables) -> DataFrame:
         .distinct()
     )
     entities = (
-        t.prospect_entity.where(is_.is_primary("primary_ind"))
-        .select("prospect_id", "id_number")
+        primary.select("prospect_id", "id_number")
         .join(
             t.ucdr_prospect_pool.select(
                 "id_number",
@@ -153,13 +154,15 @@ def with_managers(proposals: DataFrame, t: Tables) -> DataFrame:
         .drop("id_number")
         .distinct()
     )
-    sides = entities.join(managers, "prospect_id", "full_outer")
-    return fan_out_join(proposals, sides, key="prospect_id")
+    sizes = tuple(side.select("prospect_id") for side in (listed, primary, held))
+    return fan_out_join(
+        proposals, entities, managers, key="prospect_id", sized_by=sizes, rows_per_part=p.rows_per_part
+    )
 
 
 def proposal_cohort(t: Tables, p: ReportParams) -> DataFrame:
     """Listed proposals, once per distinct active manager."""
-    return with_managers(listed_proposals(t, p), t).select(
+    return with_managers(listed_proposals(t, p), t, p).select(
         "proposal_id",
         "prospect_id",
         "prospect_name",

@@ -225,7 +225,8 @@ def outside_entities(cohort: DataFrame, t: Tables, p: ReportParams, anti: bool =
 def visits_by_author(t: Tables, p: ReportParams) -> DataFrame:
     """Visits per author, split by whether the author manages the prospect.
 
-    A visit counts once per active manager assignment of its prospect, and once if there is none.
+    A visit counts once per active manager assignment of its prospect, and once if there is none; and again for every
+    row that an author has under one name, because the published query joins names before it counts.
     """
     visits = (
         t.contact_report.where(is_.is_visit() & is_.in_window("contact_date", p.om_window))
@@ -263,12 +264,12 @@ def visits_by_author(t: Tables, p: ReportParams) -> DataFrame:
             F.sum(visit * F.coalesce("pq_rows", F.lit(0))).alias("visits_pq"),
         )
     )
-    names = t.ucdr_bio.select(F.col("id_number").alias("author_id_number"), F.col("sort_name").alias("author_name"))
+    names = t.ucdr_bio.groupBy(
+        F.col("id_number").alias("author_id_number"), F.col("sort_name").alias("author_name")
+    ).agg(F.count("*").alias("name_rows"))
+    name_rows = F.coalesce("name_rows", F.lit(1))
     return authors.join(names, "author_id_number", "left").select(
         F.col("author_id_number").alias("author_id"),
         "author_name",
-        "visits_by_rm",
-        "visits_by_non_rm",
-        "no_rm",
-        "visits_pq",
+        *[(F.col(c) * name_rows).alias(c) for c in ("visits_by_rm", "visits_by_non_rm", "no_rm", "visits_pq")],
     )

@@ -7,17 +7,11 @@ from datetime import datetime
 
 Window = tuple[datetime, datetime]
 
-# Staff lists and unit codes the published reports were written with.
-OM_EXCLUDED_STAFF = (
-    "0000886412", "0000934169", "0000914804", "0000667353",
-    "0000761072", "0000629408", "0000710242", "0001018506",
-)
+# Unit codes the published officer reports leave out.
 OM_EXCLUDED_UNITS = ("ASGP", "FCG")
-ANNUAL_SPECIAL_STAFF = ("0000629408", "0000761072")
-LEADERSHIP_STAFF = (
-    "0001058283", "0000886412", "0000667353", "0000934169",
-    "0001018506", "0000914804", "0001058284",
-)
+
+# Rows of a key's join result that one task makes; a key with more is dealt out to parts.
+ROWS_PER_PART = 1_000_000
 
 # Smallest recommended portfolio per officer type. Types that are absent never qualify.
 SIZE_MINIMUM = {
@@ -37,7 +31,8 @@ class ReportParams:
     """Everything a report needs besides its tables.
 
     ``as_of`` is "now"; None means the session's local timestamp when the query runs.
-    Windows include both ends, and the upper end is a midnight.
+    Windows include both ends, and the upper end is a midnight. The staff lists name people of one installation and are
+    empty unless the caller gives them. ``rows_per_part`` spreads crowded keys and changes no result.
     """
 
     as_of: datetime | None = None
@@ -54,12 +49,13 @@ class ReportParams:
         ((_day(2015, 7, 1), _day(2016, 6, 30)), "FY 15-16"),
     )
     open_fiscal_year: str = "FY 17-18"
-    exclude_staff: tuple[str, ...] = OM_EXCLUDED_STAFF
+    exclude_staff: tuple[str, ...] = ()
     exclude_units: tuple[str, ...] = OM_EXCLUDED_UNITS
-    special_officers: tuple[str, ...] = ANNUAL_SPECIAL_STAFF
-    leadership: tuple[str, ...] = LEADERSHIP_STAFF
+    special_officers: tuple[str, ...] = ()
+    leadership: tuple[str, ...] = ()
     size_minimum: dict[str, int] = field(default_factory=lambda: dict(SIZE_MINIMUM))
     label_date_format: str = "dd-MMM-yy"
+    rows_per_part: int = ROWS_PER_PART
 
 
 def window_label(window: Window) -> str:

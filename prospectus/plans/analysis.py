@@ -92,7 +92,10 @@ def portfolio_analysis(t: Tables, p: ReportParams) -> DataFrame:
         .join(qualified, "prospect_id", "left")
         .join(pool_sheet(t), "prospect_id", "left")
     )
-    sheet = fan_out_join(sheet, own, own_recent, key="prospect_id", sized_by=(cohort, pairs, pairs))
+    sizes = (cohort, pairs, pairs)
+    sheet = fan_out_join(
+        sheet, own, own_recent, key="prospect_id", sized_by=sizes, rows_per_part=p.rows_per_part
+    )
     held_since, today = F.col("start_date"), now(p)
     sheet = sheet.withColumn("years_as_rm", rounded_years(held_since, today))
     sheet = sheet.withColumn("_verdict", assessment(F.col("years_as_rm"), p))

@@ -23,9 +23,13 @@ def om_proposals(t: Tables, p: ReportParams) -> DataFrame:
     """Major-gift proposals of managed prospects, once per cohort row of the prospect."""
     pool = primary_pool(t).select("prospect_id", "abs_high_capacity_ucdt_asks", "abs_high_capacity_ucdt_ask_lvl")
     proposals = t.proposal.where(is_.is_major_gift() & is_.in_window("start_date", p.om_window))
-    held = om_cohort(t, p).select("prospect_id").join(pool, "prospect_id", "left")
+    cohort = om_cohort(t, p).select("prospect_id")
+    held = cohort.join(pool, "prospect_id", "left")
+    sizes = (proposals.select("prospect_id"), cohort)
     return (
-        fan_out_join(proposals, held, key="prospect_id", how="inner")
+        fan_out_join(
+            proposals, held, key="prospect_id", how="inner", sized_by=sizes, rows_per_part=p.rows_per_part
+        )
         .select(
             "proposal_id",
             "prospect_id",
@@ -83,7 +87,9 @@ def om_prospects(t: Tables, p: ReportParams) -> DataFrame:
         .join(sizes, "officer_id", "left")
     )
     return (
-        fan_out_join(rows, ask_dates, key="prospect_id", sized_by=(cohort, cohort))
+        fan_out_join(
+            rows, ask_dates, key="prospect_id", sized_by=(cohort, cohort), rows_per_part=p.rows_per_part
+        )
         .select(
             "prospect_id",
             F.col("officer_name").alias("rm_name"),

@@ -22,7 +22,7 @@ def proposal_stats(t: Tables, p: ReportParams) -> DataFrame:
     )
     asked = F.col("ask_amt")
     return (
-        with_managers(detailed, t)
+        with_managers(detailed, t, p)
         .select(
             "proposal_id",
             "proposal_type",

@@ -85,11 +85,13 @@ def tables_from_catalog(spark: SparkSession, schema: str, empty_as_null: bool =
     return Tables(lambda table: conform(spark.table(f"{schema}.{table}"), table, empty_as_null))
 
 
-# Event tables and the date their windows are cut on.
+# Event tables, the date their windows are cut on, and a column with many values that parts the rows of one date.
 EVENT_DATES = {
-    "contact_report": "contact_date",
-    "ucdr_giving": "date_of_record",
-    "proposal": "start_date",
+    "contact_report": ("contact_date", "report_id"),
+    "ucdr_giving": ("date_of_record", "id_number"),
+    "proposal": ("start_date", "proposal_id"),
+    "assignment": ("stop_date", "prospect_id"),
+    "stage": ("stage_date", "proposal_id"),
 }
 
 
@@ -97,13 +99,15 @@ def write_tables(tables: Tables, root: str, mode: str = "errorifexists") -> None
     """Store the tables as Parquet, event tables ordered by date.
 
     Range partitioning by date gives each file a narrow date span, so a window filter skips whole files and row
-    groups by their statistics without a partition column in the path.
+    groups by their statistics without a partition column in the path. Rows of one date, or without one, are parted by a
+    second column and a hash of the row, so a bulk load of a single day still spreads over files.
     """
     for table in TABLE_NAMES:
         df = getattr(tables, table)
         if table in EVENT_DATES:
-            date = EVENT_DATES[table]
-            df = df.repartitionByRange(date).sortWithinPartitions(date)
+            date, second = EVENT_DATES[table]
+            df = df.withColumn("_spread", F.xxhash64(*df.columns))
+            df = df.repartitionByRange(date, second, "_spread").sortWithinPartitions(date, second).drop("_spread")
         df.write.mode(mode).parquet(f"{root}/{table}")
 
 

@@ -78,7 +78,7 @@ def random_tables(seed: int) -> dict[str, list[dict]]:
             return rng.randrange(1000)
         return f"{column} {rng.randrange(4)}"
 
-    keys = {"prospect": ("prospect_id", PROSPECTS), "staff": ("id_number", STAFF), "ucdr_bio": ("id_number", STAFF[:-2]),
+    keys = {"prospect": ("prospect_id", PROSPECTS), "staff": ("id_number", STAFF), "ucdr_bio": ("id_number", [*STAFF[:-2], *STAFF[:2], STAFF[1]]),
             "proposal": ("proposal_id", PROPOSALS), "ucdr_prospect_pool": ("id_number", ENTITIES)}
     sizes = {"assignment": 260, "contact_report": 700, "stage": 200, "prospect_entity": 18, "ucdr_giving": 160}
     tables = {}

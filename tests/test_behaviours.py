@@ -329,3 +329,11 @@ def test_proposal_reaches_its_prospect_through_the_bridge(tables):
         ucdr_prospect_pool=[{"prosp_id": 7, "id_number": "e", "prim_prosp_ind": "N", "sort_name": "Name"}],
     )
     assert proposal_cohort(t, P).first().prospect_name == "Name"
+
+
+def test_visits_count_once_for_each_row_of_a_name(tables):
+    visit = {"report_id": 1, "prospect_id": 1, "author_id_number": "A", "contact_type": "V", "contact_date": datetime(2016, 5, 1)}
+    names = [{"id_number": "A", "sort_name": "Equal"}] * 2 + [{"id_number": "A", "sort_name": "Other"}]
+    t = tables(contact_report=[visit], ucdr_bio=names)
+    rows = sorted((r.author_name, r.no_rm) for r in plans.om_visits(t, ReportParams(as_of=datetime(2017, 8, 1))).collect())
+    assert rows == [("Equal", 2), ("Other", 1)]

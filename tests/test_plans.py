@@ -59,9 +59,26 @@ def test_no_python_and_no_quadratic_joins(t, name, no_broadcast):
         assert operator not in text
 
 
-def test_no_hints_force_a_broadcast(t, no_broadcast):
+FANNED_OUT = {"analysis": 3, "om_proposals": 2, "om_prospects": 2, "proposal_stats": 3}
+
+
+def test_only_lists_of_crowded_keys_are_broadcast(t, no_broadcast):
+    """One for each side of a fan-out join: they have a row for every million result rows at most."""
+    for name, report in REPORTS.items():
+        text = plan_of(report(t, P))
+        assert len(re.findall(r"BroadcastHashJoin", text)) == FANNED_OUT.get(name, 0)
+
+
+def test_no_full_outer_join(t, no_broadcast):
     for report in REPORTS.values():
-        assert "BroadcastExchange" not in plan_of(report(t, P))
+        assert "FullOuter" not in plan_of(report(t, P))
+
+
+def test_proposal_stats_scan_proposals_once_and_their_keys_once(t, no_broadcast):
+    text = plan_of(plans.proposal_stats(t, P))
+    reads = [line for line in text.splitlines() if re.search(r"FileScan parquet .*/proposal\]", line)]
+    assert len([line for line in reads if "proposal_title" in line]) == 1
+    assert all("ask_amt" not in line for line in reads if "proposal_title" not in line)
 
 
 def scans(text: str, table: str) -> int:

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import bisect
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from random_tables import random_tables, write
 
+from prospectus import plans
 from prospectus.operators.fan_out import crowded_keys, deal_out, fan_out_join
 from prospectus.operators.ranking import latest_by, with_next_event
 from prospectus.params import ReportParams
 from prospectus.plans import portfolio_percents
 from prospectus.plans.scorecard import officer_scorecard
+from prospectus.sources.staged import STAGED_PARAMS
+from prospectus.sources.tables import load_tables
 
 P = ReportParams(as_of=datetime(2017, 8, 1))
 OFFICERS = 400
@@ -64,15 +69,35 @@ def test_fan_out_join_is_the_plain_join_in_parts(spark, how):
     first = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k int, a int")
     second = spark.createDataFrame([(k, rng.randrange(9)) for k in [1] * 40 + [2, 3, 3, 5, None]], "k int, b int")
     third = spark.createDataFrame([(k, rng.randrange(9)) for k in [1, 1, 2]], "k int, c int")
-    crowded = crowded_keys("k", first, second, third, rows_per_part=500).collect()
+    crowded = crowded_keys("k", first, second, third, rows_per_part=500, how=how).collect()
     assert [tuple(r) for r in crowded] == [(1, 10)]
-    parts = deal_out(first, crowded_keys("k", first, second, third, rows_per_part=500), "k").where("k = 1")
+    parts = deal_out(first, crowded_keys("k", first, second, third, rows_per_part=500, how=how), "k").where("k = 1")
     assert parts.select("_part").distinct().count() > 5
     split = fan_out_join(first, second, third, key="k", how=how, rows_per_part=500)
     plain = first.join(second, "k", how).join(third, "k", how)
     assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_a_key_that_one_side_lacks_is_dealt_out(spark):
+    first = spark.range(100).selectExpr("1 AS k", "id AS a")
+    second = spark.range(100).selectExpr("1 AS k", "id AS b")
+    third = spark.range(1).selectExpr("2 AS k", "id AS c")
+    crowded = crowded_keys("k", first, second, third, rows_per_part=500)
+    assert [tuple(r) for r in crowded.collect()] == [(1, 20)]
+    assert crowded_keys("k", first, second, third, rows_per_part=500, how="inner").count() == 0
+
+
+@pytest.mark.parametrize("report", ["portfolio_analysis", "om_prospects", "om_proposals", "proposal_stats"])
+def test_reports_are_the_same_in_parts(spark, tmp_path, report):
+    write(random_tables(11), str(tmp_path))
+    t = load_tables(spark, str(tmp_path))
+    whole, parts = (
+        sorted(map(str, getattr(plans, report)(t, replace(STAGED_PARAMS, rows_per_part=n)).collect()))
+        for n in (10**6, 3)
+    )
+    assert whole == parts and whole
+
+
 @pytest.mark.parametrize("include_self", [True, False])
 def test_next_event_agrees_with_a_search(spark, include_self):
     rng = random.Random(7)

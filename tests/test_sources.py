@@ -9,7 +9,7 @@ from prospectus.params import ReportParams, window_label
 from prospectus.plans import labels
 from prospectus.sources.schemas import TABLE_NAMES, schema_of
 from prospectus.sources.staged import STAGED_PARAMS, stage_tables
-from prospectus.sources.tables import conform, load_tables, tables_from_catalog, write_report, write_tables
+from prospectus.sources.tables import Tables, conform, load_tables, tables_from_catalog, write_report, write_tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -59,14 +59,14 @@ def test_catalog_tables(spark, tmp_path):
     write(random_tables(4), str(tmp_path))
     for name in ("prospect", "contact_report"):
         spark.read.parquet(f"{tmp_path}/{name}").createOrReplaceTempView(name)
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS advance_test LOCATION '{tmp_path}/db'")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS portfolio_test LOCATION '{tmp_path}/db'")
     try:
         for name in ("prospect", "contact_report"):
-            spark.sql(f"CREATE TABLE advance_test.{name} USING parquet LOCATION '{tmp_path}/{name}'")
-        t = tables_from_catalog(spark, "advance_test")
+            spark.sql(f"CREATE TABLE portfolio_test.{name} USING parquet LOCATION '{tmp_path}/{name}'")
+        t = tables_from_catalog(spark, "portfolio_test")
         assert plans.prospects_added(t, STAGED_PARAMS).first().prospects_added >= 0
     finally:
-        spark.sql("DROP DATABASE advance_test CASCADE")
+        spark.sql("DROP DATABASE portfolio_test CASCADE")
         for name in ("prospect", "contact_report"):
             spark.catalog.dropTempView(name)
 
@@ -101,3 +101,19 @@ def test_default_parameters():
     p = ReportParams()
     assert window_label(p.window) == "7/1/2015 - 6/30/2017"
     assert window_label(p.om_window) == "7/1/2015 - 5/15/2017"
+
+
+@pytest.mark.parametrize("day", ["timestamp_ntz '2016-07-01 00:00:00'", "CAST(NULL AS timestamp_ntz)"])
+def test_one_date_spreads_over_files(spark, tmp_path, day):
+    gifts = spark.range(4_000).selectExpr(
+        "'1' AS id_number", f"{day} AS date_of_record", "CAST(id AS decimal(18,2)) AS prim_amt", "'G' AS giving_ind",
+        "'1' AS prog_hier_num")
+    empty = stage_tables(spark, SMALL)
+    tables = Tables(lambda name: gifts if name == "ucdr_giving" else getattr(empty, name).limit(0))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_tables(tables, str(tmp_path / "stored"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "stored/ucdr_giving")).groupBy("_metadata.file_path").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 2_000 and sum(sizes) == 4_000
