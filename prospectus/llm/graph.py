@@ -13,16 +13,17 @@ from dataclasses import dataclass
 import numpy as np
 
 BATCH = 1024
+ENTRIES = 32
 
 
 @dataclass
 class Graph:
-    """Vectors (by row), their squared lengths, neighbours (rows, -1 for none) and the entry."""
+    """Vectors (by row), their squared lengths, neighbours (rows, -1 for none) and the rows where searches begin."""
 
     vectors: np.ndarray
     squares: np.ndarray
     neighbours: np.ndarray
-    entry: int
+    entries: np.ndarray
 
 
 def beam_search(graph: Graph, queries: np.ndarray, beam: int, nodes: int | None = None, expand: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -37,8 +38,9 @@ def beam_search(graph: Graph, queries: np.ndarray, beam: int, nodes: int | None
     distance = np.full((size, beam), np.inf, dtype=np.float32)
     opened = np.ones((size, beam), dtype=bool)
     seen = np.zeros((size, nodes), dtype=bool)
-    found[:, 0], opened[:, 0], seen[:, graph.entry] = graph.entry, False, True
-    distance[:, 0] = lengths + graph.squares[graph.entry] - 2 * queries @ graph.vectors[graph.entry]
+    begin = graph.entries[graph.entries < nodes][:beam]
+    found[:, : len(begin)], opened[:, : len(begin)], seen[:, begin] = begin, False, True
+    distance[:, : len(begin)] = lengths[:, None] + graph.squares[begin] - 2 * queries @ graph.vectors[begin].T
     active = np.arange(size)
     while len(active):
         waiting = np.where(opened[active], np.inf, distance[active])
@@ -93,7 +95,8 @@ def robust_prune(vectors: np.ndarray, squares: np.ndarray, candidates: np.ndarra
 def built(vectors: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, seed: int = 3) -> tuple[Graph, np.ndarray]:
     """A graph over ``vectors`` and the order of its rows: row i of the graph is row ``order[i]`` of ``vectors``.
 
-    The entry is the medoid, which is inserted first.
+    Searches begin at the medoid, which is inserted first, and at ``ENTRIES`` random rows: where near copies crowd around
+    the medoid, edges that lead away from it can all be pruned.
     """
     size = len(vectors)
     order = np.random.default_rng(seed).permutation(size)
@@ -102,7 +105,7 @@ def built(vectors: np.ndarray, degree: int = 32, beam: int = 64, alpha: float =
     at = int(np.flatnonzero(order == medoid)[0])
     order[[0, at]] = order[[at, 0]]
     own = np.ascontiguousarray(vectors[order], dtype=np.float32)
-    graph = Graph(own, np.einsum("nd,nd->n", own, own), np.full((size, degree), -1, dtype=np.int64), 0)
+    graph = Graph(own, np.einsum("nd,nd->n", own, own), np.full((size, degree), -1, dtype=np.int64), np.arange(min(size, 1 + ENTRIES)))
     done = min(size, 2 * degree)
     _connect(graph, np.arange(done), *_all_near(graph, done), degree, alpha)
     while done < size:
