@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prospectus.checks import sqltext as s
 from prospectus.checks.registry import check
 from prospectus.operators import contacts, giving, proposals, stages
-from prospectus.operators.cohorts import om_cohort, prospect_cohort
+from prospectus.operators.cohorts import cohort_pairs, om_cohort, prospect_cohort
 from prospectus.plans import flows
 from prospectus.plans.officer_management import removed_by_rm
 from prospectus.plans.percents import coverage_percents
@@ -19,6 +19,10 @@ def _managed(t):
     return prospect_cohort(t, named=False, require_active_staff=False, start="assigned")
 
 
+def _held(t, p):
+    return contacts.by_cohort_officer(cohort_pairs(_managed(t)), contacts.coverage_tallies(t, p))
+
+
 def _coverage(by_author: bool, rolling: str | None = None, latest: bool = True) -> str:
     keys = "c.prospect_id, r.author_id_number AS author_id" if by_author else "c.prospect_id"
     join = "r.prospect_id = c.prospect_id AND " + s.contact("r")
@@ -41,22 +45,24 @@ ALL_BY_PROSPECT = _coverage(False)
 
 @check("agg_contacts_rm_all", s.with_cohort(ALL_BY_AUTHOR, s.MANAGED))
 def _(t, p):
-    return contacts.contacts_by_officer(_managed(t), t, p)
+    return contacts.contacts_by_officer(_held(t, p))
 
 
 @check("agg_contacts_any_all", s.with_cohort(ALL_BY_PROSPECT, s.MANAGED))
 def _(t, p):
-    return contacts.contacts_by_prospect(_managed(t), t, p)
+    found = contacts.contacts_by_prospect(_managed(t), contacts.coverage_tallies(t, p))
+    return found.select("prospect_id", "contacts", "visits", "latest_visit")
 
 
 @check("agg_contacts_rm_rolling", s.with_cohort(RECENT_BY_AUTHOR, s.MANAGED))
 def _(t, p):
-    return contacts.recent_contacts_by_officer(_managed(t), t, p)
+    return contacts.recent_contacts_by_officer(_held(t, p)).toDF("prospect_id", "author_id", "contacts", "visits")
 
 
 @check("agg_contacts_any_rolling", s.with_cohort(RECENT_BY_PROSPECT, s.MANAGED))
 def _(t, p):
-    return contacts.recent_contacts_by_prospect(_managed(t), t, p)
+    found = contacts.contacts_by_prospect(_managed(t), contacts.coverage_tallies(t, p))
+    return found.select("prospect_id", F.col("recent_contacts").alias("contacts"), F.col("recent_visits").alias("visits"))
 
 
 @check("agg_contacts_officer_window", s.with_cohort(s.own_activity(s.OWN_TESTS)))

@@ -9,7 +9,7 @@ from prospectus.checks.aggregates import ALL_BY_AUTHOR, FIRST_ASK, VISITS_TO_ASK
 from prospectus.checks.registry import check
 from prospectus.functions import predicates as is_
 from prospectus.operators import contacts, officers, proposals, stages
-from prospectus.operators.cohorts import om_cohort, prospect_cohort
+from prospectus.operators.cohorts import cohort_pairs, om_cohort, prospect_cohort
 from prospectus.operators.fan_out import fan_out_join
 from prospectus.operators.giving import primary_pool
 from prospectus.plans import flows
@@ -161,7 +161,9 @@ def _(t, p):
 def _(t, p):
     cohort = prospect_cohort(t, named=False, require_active_staff=False, start="assigned")
     rows = cohort.select("prospect_id", "officer_id", "priority_code")
-    authors = contacts.contacts_by_officer(cohort, t, p)
+    authors = contacts.contacts_by_officer(
+        contacts.by_cohort_officer(cohort_pairs(cohort), contacts.coverage_tallies(t, p))
+    )
     return fan_out_join(rows, authors, key="prospect_id", sized_by=(rows, rows))
 
 

@@ -21,6 +21,7 @@ from prospectus.sources.tables import Tables
 
 _PAIR = ["prospect_id", "author_id"]
 COVERAGE = ["contacts", "visits"]
+RECENT = ["recent_contacts", "recent_visits"]
 ACTIVITY = ["contacts", "visits", "ask_or_special", "ask", "special", "strategy", "dq_nn_nr", "qu", "qualified"]
 
 
@@ -51,16 +52,6 @@ def coverage_tallies(t: Tables, p: ReportParams, days_earlier: int = 0) -> DataF
     )
 
 
-def recent_tallies(t: Tables, p: ReportParams, days_earlier: int = 0) -> DataFrame:
-    """Contacts and visits per (prospect, author) in the rolling window only, so that older reports are not read."""
-    return (
-        _reports(t)
-        .where(is_.is_contact() & is_.in_rolling("contact_date", p, days_earlier))
-        .groupBy(*_PAIR)
-        .agg(F.count("*").alias("contacts"), F.count_if(is_.is_visit()).alias("visits"))
-    )
-
-
 def activity_tallies(t: Tables, p: ReportParams) -> DataFrame:
     """What each author did for each prospect in the report window."""
     return (
@@ -122,24 +113,19 @@ def per_prospect(
     return cohort_rows_per_prospect(cohort).join(totals, "prospect_id", "left").select("prospect_id", *counted, *dates)
 
 
-def contacts_by_officer(cohort: DataFrame, t: Tables, p: ReportParams) -> DataFrame:
+def contacts_by_officer(held: DataFrame) -> DataFrame:
     """Contacts, visits and latest visit by the cohort's own officers, all time."""
-    held = by_cohort_officer(cohort_pairs(cohort), coverage_tallies(t, p))
     return per_author(held, COVERAGE, F.col("contacts").isNotNull(), dates=("latest_visit",))
 
 
-def contacts_by_prospect(cohort: DataFrame, t: Tables, p: ReportParams) -> DataFrame:
-    """Contacts, visits and latest visit by anyone, all time."""
-    return per_prospect(cohort, coverage_tallies(t, p), COVERAGE, dates=("latest_visit",))
-
-
-def recent_contacts_by_officer(cohort: DataFrame, t: Tables, p: ReportParams, days_earlier: int = 0) -> DataFrame:
-    held = by_cohort_officer(cohort_pairs(cohort), recent_tallies(t, p, days_earlier))
-    return per_author(held, COVERAGE, F.col("contacts").isNotNull())
+def recent_contacts_by_officer(held: DataFrame) -> DataFrame:
+    """Contacts and visits by the cohort's own officers in the rolling window."""
+    return per_author(held, RECENT, F.col("recent_contacts") > 0)
 
 
-def recent_contacts_by_prospect(cohort: DataFrame, t: Tables, p: ReportParams, days_earlier: int = 0) -> DataFrame:
-    return per_prospect(cohort, recent_tallies(t, p, days_earlier), COVERAGE)
+def contacts_by_prospect(cohort: DataFrame, tallies: DataFrame) -> DataFrame:
+    """Contacts and visits by anyone, all time and in the rolling window, and the latest visit."""
+    return per_prospect(cohort, tallies, COVERAGE + RECENT, dates=("latest_visit",))
 
 
 def officer_activity(cohort: DataFrame, t: Tables, p: ReportParams, priority: str | None = None) -> DataFrame:

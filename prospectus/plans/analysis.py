@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from prospectus.functions import predicates as is_
 from prospectus.functions.dates import now, rolling_label, rounded_years
 from prospectus.functions.scalars import ask_gap_flag, assessment
-from prospectus.operators.cohorts import cohort_pairs, cohort_rows_per_prospect, prospect_cohort
+from prospectus.operators.cohorts import cohort_pairs, prospect_cohort
 from prospectus.operators.contacts import (
     by_cohort_officer,
+    contacts_by_officer,
+    contacts_by_prospect,
     coverage_tallies,
     kept_whole,
     last_qualification,
-    per_author,
+    recent_contacts_by_officer,
 )
 from prospectus.operators.fan_out import fan_out_join
 from prospectus.operators.giving import last_annual_fund_gift, last_gift, primary_pool
@@ -22,9 +24,6 @@ from prospectus.operators.proposals import max_planned_ask_date
 from prospectus.params import ReportParams
 from prospectus.sources.tables import Tables
 
-_RECENT = ["recent_contacts", "recent_visits"]
-_ALL_TIME = ["contacts", "visits"]
-
 
 def pool_sheet(t: Tables) -> DataFrame:
     """Primary pool rows with last gift, last annual-fund gift and the date of the planned ask."""
@@ -51,31 +50,18 @@ def portfolio_analysis(t: Tables, p: ReportParams) -> DataFrame:
     pairs = cohort_pairs(cohort)
     held = by_cohort_officer(pairs, tallies)
 
-    own = per_author(held, _ALL_TIME, F.col("contacts").isNotNull(), dates=("latest_visit",))
-    own = own.drop("author_id").withColumnsRenamed(
-        {"contacts": "contacts_rm", "visits": "visits_rm", "latest_visit": "latest_visit_rm"}
-    )
-    own_recent = per_author(held, _RECENT, F.col("recent_contacts") > 0)
-    own_recent = own_recent.drop("author_id").withColumnsRenamed(
-        {"recent_contacts": "contacts_rm_12m", "recent_visits": "visits_rm_12m"}
-    )
-    anyone = tallies.groupBy("prospect_id").agg(
-        *[F.sum(c).alias(c) for c in _ALL_TIME + _RECENT], F.max("latest_visit").alias("latest_visit_any")
-    )
-    any_names = {
-        "contacts": "contacts_any",
-        "visits": "visits_any",
-        "recent_contacts": "contacts_any_12m",
-        "recent_visits": "visits_any_12m",
-    }
-    anyone = (
-        cohort_rows_per_prospect(cohort)
-        .join(anyone, "prospect_id", "left")
-        .select(
-            "prospect_id",
-            *[F.coalesce(F.col("rows") * F.col(c), F.lit(0)).alias(name) for c, name in any_names.items()],
-            "latest_visit_any",
-        )
+    own = contacts_by_officer(held).drop("author_id")
+    own = own.withColumnsRenamed({"contacts": "contacts_rm", "visits": "visits_rm", "latest_visit": "latest_visit_rm"})
+    own_recent = recent_contacts_by_officer(held).drop("author_id")
+    own_recent = own_recent.withColumnsRenamed({"recent_contacts": "contacts_rm_12m", "recent_visits": "visits_rm_12m"})
+    anyone = contacts_by_prospect(cohort, tallies).withColumnsRenamed(
+        {
+            "contacts": "contacts_any",
+            "visits": "visits_any",
+            "recent_contacts": "contacts_any_12m",
+            "recent_visits": "visits_any_12m",
+            "latest_visit": "latest_visit_any",
+        }
     )
     staff = t.staff.select(F.col("id_number").alias("officer_id"), F.col("sort").alias("rm_name"), "unit_code")
     units = t.tms_unit_code.select("unit_code", F.col("full_desc").alias("rm_area"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from prospectus import plans
 from prospectus.functions import dates, scalars
 from prospectus.operators import contacts, giving, officers, proposals, stages
-from prospectus.operators.cohorts import om_cohort, proposal_cohort, prospect_cohort
+from prospectus.operators.cohorts import cohort_pairs, om_cohort, proposal_cohort, prospect_cohort
 from prospectus.params import ReportParams
 from prospectus.plans.scorecard import officer_scorecard
 
@@ -146,8 +146,9 @@ def test_rolling_window_is_thirteen_months_and_one_report_starts_a_day_earlier(t
     t = tables(prospect=[prospect(1)], staff=[officer("A")], assignment=[holds(1, "A")],
                contact_report=[report(1, "A", at=a) for a in at])
     cohort = prospect_cohort(t)
-    assert contacts.recent_contacts_by_officer(cohort, t, P).first().contacts == 1
-    assert contacts.recent_contacts_by_officer(cohort, t, P, days_earlier=1).first().contacts == 3
+    for days_earlier, expected in ((0, 1), (1, 3)):
+        held = contacts.by_cohort_officer(cohort_pairs(cohort), contacts.coverage_tallies(t, P, days_earlier))
+        assert contacts.recent_contacts_by_officer(held).first().recent_contacts == expected
 
 
 def entered(code, *ymd):
