@@ -97,94 +97,110 @@ PROPOSAL_STATS = {
     "date_run": "Date Run",
 }
 
-# Scorecard measures with a count and a share: "Total <name>" and "% <name>".
-_COUNTED = {
-    "contacted_by_officer": "Contacted by {this}",
-    "visited_by_officer": "Visited by {this}",
-    "visited_twice_by_officer": "Visited 2+ by {this}",
-    "contacted_any": "Contacted by Any DO",
-    "visited_any": "Visited by Any DO",
-    "rated_lt_50k": "Rated < $50k",
-    "rated_ge_50k": "Rated >= $50k",
-    "rated_lt_100k": "Rated < $100k",
-    "rated_ge_100k": "Rated >= $100k",
-    "rated_lt_1m": "Rated < $1M",
-    "rated_ge_1m": "Rated >= $1M",
-    "gave": "Gave During Timeframe",
-    "at_qualification": "at Qualification",
-    "at_cultivation": "at Cultivation",
-    "at_active_solicitation": "at Active Solicitation",
-    "at_stewardship": "at Stewardship",
-    "at_pg_stewardship": "at PG Stewardship",
-    "at_permanent_stewardship": "at Permanent Stewardship",
-    "documented_strategy": "Documented Strategy",
-    "ask_major_by_officer": "Ask Made (Major) by {who}",
-    "ask_any_by_officer": "Ask Made (MG/A+S) by {who}",
-    "ask_special_by_officer": "Ask Made Special by {who}",
-    "proposals_ask_made": "{with_}Ask Made Proposals",
-    "proposals_dropped_before_ask": "Dropped Before Ask Made",
-    "proposals_closed": "{with_}Proposals Closed",
-    "pq_visited": "PQ Visited",
-    "pm_visited": "PM Visited",
-}
-_ASKED_ANY = {
-    "ask_major_any": "Ask Made (Major)",
-    "ask_any_any": "Ask Made (MG/A+S)",
-    "ask_special_any": "Ask Made Special",
-}
-_OTHER = {
-    "officer_name": "{who} Name",
-    "officer_id": "{who} Number",
-    "officer_type": "DO Type",
-    "years_as_officer": "Years as DO",
-    "portfolio_size": "Portfolio Size{only}",
-    "team_member_size": "Count as Team Member",
-    "total_qualified": "Total Qualified",
-    "total_to_be_qualified": "Total to be Qualified",
-    "outside_entities": "Visits Outside Portfolio",
-    "pct_at_qualification_1yr": "% at Qualification for 1+ yr",
-    "pct_at_cultivation_1yr": "% at Cultivation for 1+ yr",
-    "pct_at_active_solicitation_1yr": "% at Active Solic for 1+ yr",
-    "dq_nn_nr_reports": "Total DQ NN NR",
-    "qualified_reports": "Total Prospects Qualified (CR)",
-    "proposals": "Total {with_}Proposals",
-    "pct_at_ask_planned_1yr": "% at Ask Planned 1+ yr",
-    "pct_at_ask_made_1yr": "% at Ask Made 1+ yr",
-    "years_floor": "Years as DO Rounded Down",
-    "size_recommended": "Recommended Portfolio Size?",
-    "rated_100k_over_half": "Portfolio rated $100k+",
-    "rated_lt_50k_over_quarter": "Portfolio rated < $50k",
-    "qualification_over_quarter": "Qualification > 25%",
-    "cultivation_stewardship_half": "Cultivation/Stewardship > 50%",
-    "solicitation_tenth": "Active Solicitation > 10%",
-    "contact_quartile": "Contact by {who} Quartile",
-    "visit_quartile": "Visit by {who} Quartile",
-    "ask_major_any_quartile": "Asked Major Any DO Quartile",
-    "ask_special_quartile": "Asked Special by {who} Quartile",
-    "ask_made_quartile": "Ask Made Proposals Quartile",
-    "closed_quartile": "Closed Proposals Quartile",
-    "pq_qualified": "Total PQ Qualified",
-    "pct_pq_qualified": "% Total PQ Qualified",
-    "pm_qualified": "Total PM Qualified",
-    "pct_pm_qualified": "% Total PM Qualified",
-    "date_pulled": "Date Pulled",
-    "date_range": "Data Date Range",
-}
+# Display names of the scorecard as published, in column order: for managers, for team members.
+SCORECARD = (
+    ("officer_name", "RM Name", "DO Name"),
+    ("officer_id", "RM Number", "DO Number"),
+    ("officer_type", "DO Type", "DO Type"),
+    ("years_as_officer", "Years as DO", "Years as DO"),
+    ("portfolio_size", "Portfolio Size", "Portfolio Size (RM only)"),
+    ("team_member_size", "Count as Team Member", "Count as Team Member"),
+    ("total_qualified", "Total Qualified", "Total Qualified"),
+    ("total_to_be_qualified", "Total to be Qualified", "Total to be Qualified"),
+    ("ask_major_by_officer", "Total Ask Made (Major) by RM", "Total Ask Made (Major) by DO"),
+    ("pct_ask_major_by_officer", "% Ask Made (Major) by RM", "% Ask Made (Major) by DO"),
+    ("ask_major_any", "Total Ask Made (Major) Any DO", "Total Ask Made (Major) Any DO"),
+    ("pct_ask_major_any", "% Ask Made (Major) by Any DO", "% Ask Made (Major) by Any DO"),
+    ("ask_any_by_officer", "Total Ask Made (MG/A+S) by RM", "Total Ask Made (MG/A+S) by DO"),
+    ("pct_ask_any_by_officer", "% Ask Made (MG/A+S) by RM", "% Ask Made (MG/A+S) by DO"),
+    ("ask_special_by_officer", "Total Ask Made Special by RM", "Total Ask Made Special by DO"),
+    ("pct_ask_special_by_officer", "% Ask Made Special by RM", "% Ask Made Special by DO"),
+    ("ask_any_any", "Total Ask Made (MG/A+S) Any DO", "Total Ask Made (MG/A+S) Any DO"),
+    ("pct_ask_any_any", "% Ask Made (MG/A+S) by Any DO", "% Ask Made (MG/A+S) by Any DO"),
+    ("ask_special_any", "Total Ask Made Special Any DO", "Total Ask Made Special Any DO"),
+    ("pct_ask_special_any", "% Ask Made Special by Any DO", "% Ask Made Special by Any DO"),
+    ("contacted_by_officer", "Total Contacted by RM", "Total Contacted by This DO"),
+    ("pct_contacted_by_officer", "% Contacted by RM", "% Contacted by This DO"),
+    ("visited_by_officer", "Total Visited by RM", "Total Visited by This DO"),
+    ("pct_visited_by_officer", "% Visited by RM", "% Visited by This DO"),
+    ("visited_twice_by_officer", "Total Visited 2+ by RM", "Total Visited 2+ by This DO"),
+    ("pct_visited_twice_by_officer", "% Visited 2+ by RM", "% Visited 2+ by This DO"),
+    ("contacted_any", "Total Contacted by Any DO", "Total Contacted by Any DO"),
+    ("pct_contacted_any", "% Contacted by Any DO", "% Contacted by Any DO"),
+    ("visited_any", "Total Visited by Any DO", "Total Visited by Any DO"),
+    ("pct_visited_any", "% Visited by Any DO", "% Visited by Any DO"),
+    ("outside_entities", "Visits Outside Portfolio", "Visits Outside Portfolio"),
+    ("rated_lt_50k", "Total Rated < $50k", "Total Rated < $50k"),
+    ("pct_rated_lt_50k", "% Rated < $50k", "% Rated < $50k"),
+    ("rated_ge_50k", "Total Rated >= $50k", "Total Rated >= $50k"),
+    ("pct_rated_ge_50k", "% Rated >= $50k", "% Rated >= $50k"),
+    ("rated_lt_100k", "Total Rated < $100k", "Total Rated < $100k"),
+    ("pct_rated_lt_100k", "% Rated < $100k", "% Rated < $100k"),
+    ("rated_ge_100k", "Total Rated >= $100k", "Total Rated >= $100k"),
+    ("pct_rated_ge_100k", "% Rated >= $100k", "% Rated >= $100k"),
+    ("rated_lt_1m", "Total Rated < $1M", "Total Rated < $1M"),
+    ("pct_rated_lt_1m", "% Rated < $1M", "% Rated < $1M"),
+    ("rated_ge_1m", "Total Rated >= $1M", "Total Rated >= $1M"),
+    ("pct_rated_ge_1m", "% Rated >= $1M", "% Rated >= $1M"),
+    ("gave", "Total Gave During Timeframe", "Total Gave During Timeframe"),
+    ("pct_gave", "% Gave During Timeframe", "% Gave During Timeframe"),
+    ("at_qualification", "Total at Qualification", "Total at Qualification"),
+    ("pct_at_qualification", "% at Qualification", "% at Qualification"),
+    ("pct_at_qualification_1yr", "% at Qualification for 1+ yr", "% at Qualification for 1+ yr"),
+    ("at_cultivation", "Total at Cultivation", "Total at Cultivation"),
+    ("pct_at_cultivation", "% at Cultivation", "% at Cultivation"),
+    ("pct_at_cultivation_1yr", "% at Cultivation for 1+ yr", "% at Cultivation for 1+ yr"),
+    ("at_active_solicitation", "Total at Active Solicitation", "Total at Active Solicitation"),
+    ("pct_at_active_solicitation", "% at Active Solicitation", "% at Active Solicitation"),
+    ("pct_at_active_solicitation_1yr", "% at Active Solic for 1+ yr", "% at Active Solic for 1+ yr"),
+    ("at_stewardship", "Total at Stewardship", "Total at Stewardship"),
+    ("pct_at_stewardship", "% at Stewardship", "% at Stewardship"),
+    ("at_pg_stewardship", "Total at PG Stewardship", "Total at PG Stewardship"),
+    ("pct_at_pg_stewardship", "% at PG Stewardship", "% at PG Stewardship"),
+    ("at_permanent_stewardship", "Total at Permanent Stewardship", "Total at Permanent Stewardship"),
+    ("pct_at_permanent_stewardship", "% at Permanent Stewardship", "% at Permanent Stewardship"),
+    ("documented_strategy", "Total Documented Strategy", "Total Documented Strategy"),
+    ("pct_documented_strategy", "% Documented Strategy", "% Documented Strategy"),
+    ("dq_nn_nr_reports", "Total DQ NN NR", "Total DQ NN NR"),
+    ("qualified_reports", "Total Prospects Qualified (CR)", "Total Prospects Qualified (CR)"),
+    ("proposals", "Total Proposals", "Total with Proposals"),
+    ("proposals_ask_made", "Total Ask Made Proposals", "Total with Ask Made Proposals"),
+    ("pct_proposals_ask_made", "% Ask Made Proposals", "% with Ask Made Proposals"),
+    ("proposals_dropped_before_ask", "Total Dropped Before Ask Made", "Total Dropped Before Ask Made"),
+    ("pct_proposals_dropped_before_ask", "% Dropped Before Ask Made", "% Dropped Before Ask Made"),
+    ("proposals_closed", "Total Proposals Closed", "Total with Proposals Closed"),
+    ("pct_proposals_closed", "% Proposals Closed", "% with Proposals Closed"),
+    ("pct_at_ask_planned_1yr", "% at Ask Planned 1+ yr", "% at Ask Planned 1+ yr"),
+    ("pct_at_ask_made_1yr", "% at Ask Made 1+ yr", "% at Ask Made 1+ yr"),
+    ("years_floor", "Years as DO Rounded Down", "Years as DO Rounded Down"),
+    ("size_recommended", "Recommended Portfolio Size?", "Recommended Portfolio Size?"),
+    ("rated_100k_over_half", "Portfolio rated $100k+", "Portfolio rated $100k+"),
+    ("rated_lt_50k_over_quarter", "Portfolio rated < $50k", "Portfolio rated < $50k"),
+    ("qualification_over_quarter", "Qualification > 25%", "Qualification > 25%"),
+    ("cultivation_stewardship_half", "Cultivation/Stewardship > 50%", "Cultivation/Stewardship > 50%"),
+    ("solicitation_tenth", "Active Solicitation > 10%", "Active Solicitation > 10%"),
+    ("contact_quartile", "Contact by RM Quartile", "Contact by DO Quartile"),
+    ("visit_quartile", "Visit by RM Quartile", "Visit by DO Quartile"),
+    ("ask_major_any_quartile", "Asked Major Any DO Quartile", "Asked Major Any DO Quartile"),
+    ("ask_special_quartile", "Asked Special by RM Quartile", "Asked Special by DO Quartile"),
+    ("ask_made_quartile", "Ask Made Proposals Quartile", "Ask Made Proposals Quartile"),
+    ("closed_quartile", "Closed Proposals Quartile", "Closed Proposals Quartile"),
+    ("pq_visited", "Total PQ Visited", "Total PQ Visited"),
+    ("pct_pq_visited", "% PQ Visited", "% PQ Visited"),
+    ("pq_qualified", "Total PQ Qualified", "Total PQ Qualified"),
+    ("pct_pq_qualified", "% Total PQ Qualified", "% Total PQ Qualified"),
+    ("pm_visited", "Total PM Visited", "Total PM Visited"),
+    ("pct_pm_visited", "% PM Visited", "% PM Visited"),
+    ("pm_qualified", "Total PM Qualified", "Total PM Qualified"),
+    ("pct_pm_qualified", "% Total PM Qualified", "% Total PM Qualified"),
+    ("date_pulled", "Date Pulled", "Date Pulled"),
+    ("date_range", "Data Date Range", "Data Date Range"),
+)
 
 
 def scorecard_labels(atype: str = "LM") -> dict[str, str]:
     """Display names of the scorecard, worded for managers ("LM") or team members ("S")."""
-    words = (
-        {"who": "RM", "this": "RM", "with_": "", "only": ""}
-        if atype == "LM"
-        else {"who": "DO", "this": "This DO", "with_": "with ", "only": " (RM only)"}
-    )
-    labels = {name: label.format(**words) for name, label in _OTHER.items()}
-    for name, label in _COUNTED.items():
-        labels |= {name: f"Total {label.format(**words)}", f"pct_{name}": f"% {label.format(**words)}"}
-    for name, label in _ASKED_ANY.items():
-        labels |= {name: f"Total {label} Any DO", f"pct_{name}": f"% {label} by Any DO"}
-    return labels
+    return {column: manager if atype == "LM" else member for column, manager, member in SCORECARD}
 
 
 def with_labels(df: DataFrame, labels: dict[str, str]) -> DataFrame:
