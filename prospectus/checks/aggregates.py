@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prospectus.checks import sqltext as s
+from prospectus.checks.published import COUNT_COLUMNS
 from prospectus.checks.registry import check
 from prospectus.operators import contacts, giving, proposals, stages
 from prospectus.operators.cohorts import cohort_pairs, om_cohort, prospect_cohort
 from prospectus.plans import flows
 from prospectus.plans.officer_management import removed_by_rm
 from prospectus.plans.percents import coverage_percents
-from prospectus.plans.scorecard import ANY_TESTS, CAPACITY_TESTS, OWN_TESTS, PROPOSAL_SUMS, officer_scorecard
+from prospectus.plans.scorecard import officer_scorecard
 from prospectus.sources.staged import STAGED_PARAMS as P
 
 
@@ -261,10 +262,6 @@ def _(t, p):
     return t.assignment.select("assignment_id_number", "assignment_type", "priority_code").distinct()
 
 
-# The officer counts of the scorecard, checked again without the identity and label columns.
-COUNT_COLUMNS = (*OWN_TESTS, *ANY_TESTS, *CAPACITY_TESTS, "gave", *PROPOSAL_SUMS)
-
-
 def scorecard_counts(t, p):
     cards = [
         officer_scorecard(t, p, role).select(F.lit(role).alias("role"), "officer_id", *COUNT_COLUMNS)

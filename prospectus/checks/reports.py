@@ -8,7 +8,6 @@ from prospectus import plans
 from prospectus.checks import sqltext as s
 from prospectus.checks.aggregates import (
     ADDED,
-    COUNT_COLUMNS,
     FIRST_ASK,
     REMOVED,
     STOPPED,
@@ -18,10 +17,10 @@ from prospectus.checks.aggregates import (
     scorecard_counts,
 )
 from prospectus.checks.cohorts import PROPOSAL_COHORT
+from prospectus.checks.published import CAPACITY_STEPS, COUNT_COLUMNS, STAGE_MIX
 from prospectus.checks.registry import check, register
 from prospectus.checks.scalars import assessment_columns
 from prospectus.checks.windows import LEADS
-from prospectus.plans.scorecard import CAPACITY_STEPS, STAGE_MIX
 from prospectus.sources.staged import STAGED_PARAMS as P
 
 OM_STAMP = f"{s.NOW} AS date_pulled, {s.window_text(P.om_window)} AS date_range"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from prospectus.checks import sqltext as s
 from prospectus.checks.cohorts import PROPOSAL_COHORT
+from prospectus.checks.published import STAGE_COUNTS
 from prospectus.checks.registry import check
 from prospectus.operators import contacts, giving, officers, proposals, stages
 from prospectus.operators.cohorts import listed_proposals, prospect_cohort
@@ -129,7 +130,7 @@ def _officer_scalar(test: str, source: str = "cohort") -> str:
 
 
 _STAGE_COUNTS = ", ".join(
-    f"{_officer_scalar(f'''q.stage_code = '{code}' ''')} AS {name}" for code, name in officers.STAGE_COUNTS.items()
+    f"{_officer_scalar(f'''q.stage_code = '{code}' ''')} AS {name}" for code, name in STAGE_COUNTS.items()
 )
 
 
