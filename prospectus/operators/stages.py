@@ -15,21 +15,24 @@ from prospectus.sources.tables import Tables
 def proposal_stage_intervals(t: Tables, proposals: DataFrame | None = None) -> DataFrame:
     """Stage entries per proposal with the next strictly later stage date; entries on one date share it.
 
-    Equal entries are counted first (``entries``), so only distinct dates are searched. ``proposals`` limits the search
-    to the proposals it lists.
+    Equal entries are counted first (``entries``) and a date's codes are held in one row, so only distinct dates are
+    searched and nothing is joined back. ``proposals`` limits the search to the proposals it lists.
     """
-    history = (
+    counted = (
         t.stage.where(F.col("proposal_id").isNotNull())
         .groupBy("proposal_id", "stage_date", "stage_code")
         .agg(F.count("*").alias("entries"))
     )
     if proposals is not None:
-        history = history.join(proposals.select("proposal_id"), "proposal_id", "left_semi")
-    dates = history.where(F.col("stage_date").isNotNull()).select("proposal_id", "stage_date").distinct()
+        counted = counted.join(proposals.select("proposal_id"), "proposal_id", "left_semi")
+    # one element for each code of the date
+    dates = counted.groupBy("proposal_id", "stage_date").agg(
+        F.collect_list(F.struct("stage_code", "entries")).alias("_codes")
+    )
     dates = dates.withColumn("_event", F.col("stage_date"))
     following = with_next_event(dates, ["proposal_id"], "stage_date", "_event", "next_date", include_self=False)
-    return history.join(following.drop("_event"), ["proposal_id", "stage_date"], "left").select(
-        "proposal_id", "stage_code", "stage_date", "next_date", "entries"
+    return following.select("proposal_id", "stage_date", "next_date", F.explode("_codes").alias("_code")).select(
+        "proposal_id", "_code.stage_code", "stage_date", "next_date", "_code.entries"
     )
 
 

@@ -134,3 +134,9 @@ def test_next_stage_search_is_split_by_day(t, no_broadcast):
 def test_proposal_rows_are_not_made_distinct(t, no_broadcast):
     """The full-width rows pass no aggregate: nothing groups by the proposal title."""
     assert not re.search(r"HashAggregate\(keys=\[[^\]]*proposal_title", plan_of(proposal_cohort(t, P)))
+
+
+def test_stage_history_is_not_joined_to_itself(t, no_broadcast):
+    """One scan for the dates, one for the first date of each day."""
+    text = plan_of(stages.stage_days(t, P))
+    assert scans(text, "stage") == 2 and text.count("SortMergeJoin") == 1
