@@ -81,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same rows, by the query's name."""
-    return {"op2_mixing": MIXING, "op10_licenses": LICENSES}
+    return {"op2_mixing": MIXING, "op8_vector_dedup": VECTOR_DEDUP, "op10_licenses": LICENSES}
 
 
 _NAMED = ", ".join(f"('{name}', {share!r}::DOUBLE)" for name, share in sorted(WEIGHTS.items()))
@@ -155,3 +155,22 @@ ranked AS (
 SELECT d.doc_id, r.license, r.dice, r.line, coalesce(r.n_findings, 0)::INTEGER AS n_findings
 FROM documents d LEFT JOIN ranked r ON d.doc_id = r.doc_id AND r.place = 1
 """
+
+#: All pairs of a label, and everything reachable by links.
+VECTOR_DEDUP = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93
+),
+reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links, min(reach.b) AS component_id,
+       e.vec_id = min(reach.b) AS kept
+FROM embeddings e JOIN reach ON reach.a = e.vec_id GROUP BY e.vec_id
+"""
