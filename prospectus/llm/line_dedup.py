@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from prospectus.llm.common import components, cut, stored
 
 MIN_CHARS, DISTANCE = 20, 2
+MARKS = 1 << 20
 _LAST = 2**63 - 1
 
 
@@ -167,13 +168,29 @@ def line_ids() -> list[Column]:
     return [F.shiftleft(F.shiftright(F.xxhash64("line"), 1), 1).alias("line_id"), F.xxhash64(F.lit(7), "line").alias("check_id")]
 
 
+def marked(ids: DataFrame) -> Column:
+    """A condition on ``line_id`` that holds for all ids in ``ids``, and for a few others: one bit for each hash.
+
+    It spares the join that follows most rows it has no use for. The bits are ``MARKS`` whatever the table's size; where
+    nearly all are set, the condition just lets all rows pass.
+    """
+    place = F.pmod(F.xxhash64("line_id"), F.lit(MARKS))
+    piece, bit = F.bitmap_bucket_number(place + 1), F.bitmap_bit_position(place + 1)
+    bits = bytearray(MARKS // 8)
+    for row in ids.groupBy(piece.alias("piece")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect():  # MARKS / 32,768 rows
+        bits[(row["piece"] - 1) * 4096 : row["piece"] * 4096] = row["bits"]
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (place % 8).cast("int")) == 1
+
+
 def near_lines(lines: DataFrame, distance: int) -> DataFrame:
     """Links ``a``, ``b`` (line ids) between different ``lines`` (``line_id``, ``line``) within ``distance`` edits."""
     key = Window.partitionBy("key")
     own = F.col("holder").bitwiseAND(1) == 1
     met = segment_keys(lines, distance).withColumns({"indexed": F.count_if(own).over(key), "least": F.min("holder").over(key), "most": F.max("holder").over(key)})
     alive = cut(met.where((F.col("indexed") > 0) & (F.shiftright("least", 1) != F.shiftright("most", 1))).select("key", F.shiftleft(F.shiftright("holder", 1), 1).alias("line_id"), own.alias("own")))
-    texts = lines.select("line_id", "line").join(alive.select("line_id").distinct(), "line_id")
+    wanted = alive.select("line_id").distinct()
+    texts = lines.select("line_id", "line").where(marked(wanted)).join(wanted, "line_id")
     held = cut(alive.join(texts, "line_id"))
     index = held.where("own").select("key", F.col("line_id").alias("a"), F.col("line").alias("x"))
     probes = held.select("key", F.col("line_id").alias("b"), F.col("line").alias("y"))

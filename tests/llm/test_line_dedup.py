@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from prospectus.llm.line_dedup import near_lines, probe_places, within_distance, without_near_lines
+from prospectus.llm.line_dedup import marked, near_lines, probe_places, within_distance, without_near_lines
 
 
 def edits(a, b):
@@ -67,6 +67,14 @@ def test_edit_automaton(spark, distance):
         assert row["near"] == (edits(row["a"], row["b"]) <= distance), row
 
 
+def test_marks_hold_for_all_ids(spark):
+    ids = spark.range(0, 40_000, 7).selectExpr("(id - 20000) * 998244353 AS line_id")
+    every = spark.range(0, 40_000).selectExpr("(id - 20000) * 998244353 AS line_id", "id % 7 = 0 AS is_in")
+    kept = {row["is_in"]: row["count"] for row in every.where(marked(ids)).groupBy("is_in").count().collect()}
+    assert kept[True] == ids.count() and kept.get(False, 0) < 1_000
+    assert every.where(marked(ids.limit(0))).count() == 0
+
+
 def test_links_against_all_pairs(spark):
     random = np.random.default_rng(4)
     lines = set()
