@@ -87,9 +87,11 @@ def common_start(a: Column, b: Column) -> Column:
 
 
 def within_distance(a: Column, b: Column, distance: int) -> Column:
-    """Whether at most ``distance`` edits turn ``a`` into ``b``."""
+    """Whether at most ``distance`` (4 at most) edits turn ``a`` into ``b``."""
     width = 2 * distance + 1
     mask = (1 << width) - 1
+    if not 0 <= distance <= 4:
+        raise ValueError("the band's words fit one long for a distance of 0 to 4")
 
     def trimmed(pair: Column) -> Column:
         return bound(common_start(pair["a"], pair["b"]), lambda n: F.struct(F.substring(pair["a"], n + 1, F.length(pair["a"])).alias("a"), F.substring(pair["b"], n + 1, F.length(pair["b"])).alias("b")))
@@ -98,7 +100,7 @@ def within_distance(a: Column, b: Column, distance: int) -> Column:
         return F.struct(F.reverse(pair["a"]).alias("a"), F.reverse(pair["b"]).alias("b"))
 
     def closed(reach: list[Column]) -> Column:
-        """The words of 0, 1, ... edits in one number of 8 * (distance + 1) bits, or wider."""
+        """The words of 0, 1, ... edits side by side in one long."""
         packed = reach[0]
         for edits, word in enumerate(reach[1:], 1):
             packed = packed.bitwiseOR(F.shiftleft(word, edits * width))
@@ -204,6 +206,8 @@ def near_lines(lines: DataFrame, distance: int) -> DataFrame:
 def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS, distance: int = DISTANCE) -> DataFrame:
     """Lines that occur more than once or are linked: ``line_id``, ``check_id``, ``class_id`` and ``owner`` (first document
     of the class)."""
+    if min_chars <= distance:
+        raise ValueError("lines need a character for each segment: min_chars must be over distance")
     lines = stored(distinct_lines(docs, min_chars))
     groups = components(near_lines(lines, distance)).withColumnsRenamed({"node": "line_id", "component": "class_id"})
     narrow = lines.select("line_id", "check_id", "doc", "n").join(groups, "line_id", "left").where("n > 1 or class_id is not null")

@@ -55,7 +55,7 @@ def test_places_to_look_up():
     assert len(probe_places(2)) == 12
 
 
-@pytest.mark.parametrize("distance", [1, 2, 3])
+@pytest.mark.parametrize("distance", [0, 1, 2, 4])
 def test_edit_automaton(spark, distance):
     random = np.random.default_rng(distance)
     pairs = [("", ""), ("", "ab"), ("abcd", ""), ("same", "same"), ("aaaa", "aaaaaa"), ("😀é", "é")]
@@ -65,6 +65,8 @@ def test_edit_automaton(spark, distance):
     frame = spark.createDataFrame(pairs, "a string, b string").withColumn("near", within_distance(F.col("a"), F.col("b"), distance))
     for row in frame.collect():
         assert row["near"] == (edits(row["a"], row["b"]) <= distance), row
+    with pytest.raises(ValueError):
+        within_distance(F.col("a"), F.col("b"), 5)
 
 
 def test_marks_hold_for_all_ids(spark):
