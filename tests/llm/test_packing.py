@@ -93,3 +93,10 @@ def test_ids_are_the_librarys():
     for text in ("", "a<|endoftext|> b", "Größe 漢字 😀  \x1c don't", "x" * 5000):
         assert list(encode(text)) == LIBRARY.encode(text, add_special_tokens=False).ids
     assert kind == "<u2"
+
+
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_a_million_blanks_are_encoded(blank):
+    encode, _ = packing.encoder("byte_bpe_50k.json", 1)
+    text = "a" + blank * 1_000_100 + "b<|endoftext|>"
+    assert list(encode(text)) == LIBRARY.encode(text, add_special_tokens=False).ids
