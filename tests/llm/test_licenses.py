@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import re
+import textwrap
+
+import pytest
 
 from prospectus.llm.licenses import TEMPLATES, license_scan, size_bounds, template_bigrams
 
@@ -60,3 +63,34 @@ def test_size_bounds_are_tight():
 def test_no_templates_and_empty_table(documents, awkward):
     assert {row["n_findings"] for row in license_scan(documents(awkward), {}).collect()} == {0}
     assert license_scan(documents([], "none")).count() == 0
+
+
+def wrapped(name, width=72):
+    return "\n".join(textwrap.fill(" ".join(block.split()), width) for block in re.split(r"\n\s*\n", TEMPLATES[name]))
+
+
+OTHER = "\n".join(f"Plain words of page {i * 37}, nothing else: rivers {i * i} and hills {i * 11}, then a road." for i in range(60))
+
+
+@pytest.mark.parametrize("name", ["MIT-text", "MIT-permission", "ISC-text", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0-header", "Apache-2.0-text", "GPL-2.0-text", "GPL-3.0-text", "MPL-2.0-text"])
+def test_wrapped_inside_other_text(documents, name):
+    rows = [(1, f"{OTHER}\n{wrapped(name)}\n{OTHER}"), (2, f"{OTHER}\n\n  Copyright 2020 A. Writer\n{wrapped(name, 78).upper()}"), (3, TEMPLATES[name])]
+    out = {row["doc_id"]: row for row in license_scan(documents(rows)).collect()}
+    assert {row["license"] for row in out.values()} == {name}
+    assert all(row["dice"] > 0.97 for row in out.values())
+    assert out[1]["line"] in (60, 61) and out[1]["n_findings"] == 1  # a title's words may all stand in the text below
+    assert out[2]["line"] in (62, 61)
+
+
+def test_two_licences_of_one_document(documents):
+    text = f"{wrapped('MIT-text')}\n{OTHER}\n{wrapped('BSD-2-Clause', 60)}\n{OTHER}\n{wrapped('MIT-text', 50)}\n{OTHER}"
+    row = license_scan(documents([(1, text)])).first()
+    assert (row["license"], row["line"], row["n_findings"]) == ("BSD-2-Clause", wrapped("MIT-text").count("\n") + 61, 3)
+    half = " ".join(TEMPLATES["MIT-text"].split()[:60])
+    row = license_scan(documents([(1, f"{OTHER}\n{half}\nsome words between the two of them\n{wrapped('MIT-text')}\n{OTHER}")], "half")).first()
+    assert (row["license"], row["dice"], row["line"]) == ("MIT-text", 1.0, 62)
+
+
+def test_other_text_has_no_run(documents):
+    row = license_scan(documents([(1, OTHER), (2, f"{OTHER}\nPermission is hereby granted, free of charge,\nto any person who asks.\n{OTHER}")])).collect()
+    assert [x["n_findings"] for x in row] == [0, 0]
