@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; ``n_chars`` counts what is left. All rows stay, emptied ones too."""
-    left = without_near_lines(docs)
+    left = without_near_lines(docs, exact_chars=1)
     counted = F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", counted).select(*COLUMNS)
 

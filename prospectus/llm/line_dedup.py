@@ -1,7 +1,8 @@
 """Removal of near-equal lines by a segment-partition edit join, in native expressions only.
 
 Lines of at least ``min_chars`` characters take part; two are linked when at most ``distance`` insertions, deletions and
-replacements of characters turn one into the other. Equal lines are one from the start. Of all lines that links connect, the
+replacements of characters turn one into the other. Equal lines are one from the start; shorter lines of ``exact_chars``
+characters or more that are not blank take part where they are equal, and have no other links. Of all lines that links connect, the
 first stays (by document id, then row of the scan, then line), in its place; the others go. Documents without an id come
 last.
 
@@ -151,18 +152,20 @@ def within_distance(a: Column, b: Column, distance: int) -> Column:
     return bound(bound(ends, trimmed), measured)
 
 
-def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def distinct_lines(docs: DataFrame, min_chars: int, exact_chars: int | None = None) -> DataFrame:
     """Lines that take part: ``line_id``, ``check_id``, ``line``, ``doc`` (first document) and ``n`` (times it occurs)."""
-    found = participating(docs, min_chars).groupBy("line").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
+    found = participating(docs, min_chars, exact_chars).groupBy("line").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
     return found.select(*line_ids(), "line", "doc", "n")
 
 
-def participating(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``row``, ``doc``, ``at`` (from 0) and ``line`` of each line of at least ``min_chars`` characters."""
+def participating(docs: DataFrame, min_chars: int, exact_chars: int | None = None) -> DataFrame:
+    """``row``, ``doc``, ``at`` (from 0) and ``line`` of each line of at least ``min_chars`` characters, and of each shorter one
+    of at least ``exact_chars`` that is not blank."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), doc, "text")  # numbered before lines are taken apart
     lines = rows.select("row", "doc", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.where(F.length("line") >= min_chars)
+    long = F.length("line") >= min_chars
+    return lines.where(long if exact_chars is None else long | ((F.length("line") >= exact_chars) & F.col("line").rlike(r"(?U)\S")))
 
 
 def line_ids() -> list[Column]:
@@ -203,23 +206,23 @@ def near_lines(lines: DataFrame, distance: int) -> DataFrame:
     return index.join(probes, (index["key"] == probes["key"]) & once & near & verified).select("a", "b").distinct()
 
 
-def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS, distance: int = DISTANCE) -> DataFrame:
+def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS, distance: int = DISTANCE, exact_chars: int | None = None) -> DataFrame:
     """Lines that occur more than once or are linked: ``line_id``, ``check_id``, ``class_id`` and ``owner`` (first document
     of the class)."""
     if min_chars <= distance:
         raise ValueError("lines need a character for each segment: min_chars must be over distance")
-    lines = stored(distinct_lines(docs, min_chars))
-    groups = components(near_lines(lines, distance)).withColumnsRenamed({"node": "line_id", "component": "class_id"})
+    lines = stored(distinct_lines(docs, min_chars, exact_chars))
+    groups = components(near_lines(lines.where(F.length("line") >= min_chars), distance)).withColumnsRenamed({"node": "line_id", "component": "class_id"})
     narrow = lines.select("line_id", "check_id", "doc", "n").join(groups, "line_id", "left").where("n > 1 or class_id is not null")
     classed = cut(narrow.select("line_id", "check_id", "doc", F.coalesce("class_id", "line_id").alias("class_id")))
     owners = classed.groupBy("class_id").agg(F.min("doc").alias("owner"))
     return classed.drop("doc").join(owners, "class_id")
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, distance: int = DISTANCE) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, distance: int = DISTANCE, exact_chars: int | None = None) -> DataFrame:
     """``row`` (of the scan) and ``lines`` (places, from 0) that go from it."""
-    classes = line_classes(docs, min_chars, distance)
-    places = participating(docs, min_chars).select("row", "doc", "at", *line_ids()).join(classes, ["line_id", "check_id"])
+    classes = line_classes(docs, min_chars, distance, exact_chars)
+    places = participating(docs, min_chars, exact_chars).select("row", "doc", "at", *line_ids()).join(classes, ["line_id", "check_id"])
     places = cut(places.select("row", "doc", "at", "class_id", "owner"))
     first = Window.partitionBy("class_id").orderBy("row", "at")
     later = places.where("doc = owner").withColumn("nth", F.row_number().over(first)).where("nth > 1")
@@ -227,12 +230,12 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, distance: int = D
     return gone.groupBy("row").agg(F.collect_list("at").alias("lines"))  # at most the lines of one document
 
 
-def without_near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, distance: int = DISTANCE) -> DataFrame:
+def without_near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, distance: int = DISTANCE, exact_chars: int | None = None) -> DataFrame:
     """``docs`` without the later ones of near-equal lines, and with ``removed_lines``, their number.
 
-    Every row stays, with what is left of its text. A column named ``removed_lines`` in ``docs`` is replaced.
+    With ``exact_chars``, the later ones of equal shorter lines go as well. Every row stays, with what is left of its text. A column named ``removed_lines`` in ``docs`` is replaced.
     """
-    gone = removed_lines(docs, min_chars, distance).select(F.col("row").alias("__row"), F.col("lines").alias("__lines"))
+    gone = removed_lines(docs, min_chars, distance, exact_chars).select(F.col("row").alias("__row"), F.col("lines").alias("__lines"))
     rows = docs.drop("removed_lines").withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains(F.col("__lines"), at)), "\n")
     text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(left)

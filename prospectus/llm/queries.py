@@ -32,7 +32,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what is left of its text."""
-    return without_near_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
+    return without_near_lines(table(spark, sf_dir, "documents"), exact_chars=1).select("doc_id", "text", "removed_lines")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

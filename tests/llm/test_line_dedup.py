@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from prospectus.llm.line_dedup import marked, near_lines, probe_places, within_distance, without_near_lines
+from prospectus.llm.queries import op3_line_dedup
 
 
 def edits(a, b):
@@ -118,6 +119,18 @@ def test_a_common_line_stays_once(documents):
     assert [row["doc_id"] for row in out if line in row["text"]] == [0]
 
 
+def test_equal_short_lines_go(documents):
+    line = "This line is on every page of the site."
+    rows = [(1, f"Home\n\nAbout\n{line}"), (2, f"Home\n\n \n\u3000\nabout\nHomes\n{line}"), (3, "\n \n\u3000\nAbout\nHome\nHome"), (4, None)]
+    out = {row["doc_id"]: (row["text"], row["removed_lines"]) for row in without_near_lines(documents(rows), exact_chars=1).collect()}
+    assert out == {1: (rows[0][1], 0), 2: ("\n \n\u3000\nabout\nHomes", 2), 3: ("\n \n\u3000", 3), 4: (None, 0)}
+
+
+def test_the_query_drops_equal_short_lines(spark, documents, tmp_path):
+    documents([(1, "Home"), (2, "Home\nown")])
+    assert {row["doc_id"]: row["text"] for row in op3_line_dedup(spark, str(tmp_path)).collect()} == {1: "Home", 2: "own"}
+
+
 def test_empty_table(documents):
     assert without_near_lines(documents([])).count() == 0
 
