@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prospectus.llm.alignment import aligned_documents
 from prospectus.llm.ann import neighbours
 from prospectus.llm.common import table
+from prospectus.llm.language import document_languages
 from prospectus.llm.licenses import TEMPLATES, license_scan, size_bounds, template_bigrams
 from prospectus.llm.line_dedup import without_near_lines
 from prospectus.llm.mixing import SEED, WEIGHTS, mixed
 from prospectus.llm.packing import packed
+from prospectus.llm.prefix_trie import prefix_trie
 from prospectus.llm.quality import quality_scores
 from prospectus.llm.sharding import resharded
 from prospectus.llm.simhash import simhash_components
@@ -73,15 +76,33 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).select("doc_id", "license", "dice", "line", "n_findings")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every text by two tokenizers."""
+    return aligned_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return document_languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    found = (op1_quality, op2_mixing, op3_line_dedup, op4_token_counts, op5_packing, op6_neighbours, op7_sharding, op8_vector_dedup, op9_simhash, op10_licenses)
+    found = (
+        op1_quality, op2_mixing, op3_line_dedup, op4_token_counts, op5_packing, op6_neighbours, op7_sharding, op8_vector_dedup, op9_simhash,
+        op10_licenses, op11_prefix_trie, op12_alignment, op13_language,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same rows, by the query's name."""
-    return {"op2_mixing": MIXING, "op8_vector_dedup": VECTOR_DEDUP, "op10_licenses": LICENSES}
+    return {"op2_mixing": MIXING, "op8_vector_dedup": VECTOR_DEDUP, "op10_licenses": LICENSES, "op11_prefix_trie": PREFIX_TRIE}
 
 
 _NAMED = ", ".join(f"('{name}', {share!r}::DOUBLE)" for name, share in sorted(WEIGHTS.items()))
@@ -174,3 +195,57 @@ SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_link
        e.vec_id = min(reach.b) AS kept
 FROM embeddings e JOIN reach ON reach.a = e.vec_id GROUP BY e.vec_id
 """
+
+#: Paths as lists of turns; every node is sent to all nodes above it.
+PREFIX_TRIE = r"""
+WITH clean AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+),
+placed AS (
+  SELECT conv_id, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role)::VARCHAR || ':' || role || text)) AS pos
+  FROM clean
+),
+bits AS (
+  SELECT conv_id, list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+         lambda c: list_concat([ascii(c)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))) AS steps
+  FROM (SELECT DISTINCT conv_id FROM clean)
+),
+heads AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS first_conv,
+         xor(list_reduce(steps, lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END), 4294967295) % 4 AS h
+  FROM bits
+),
+begun AS (
+  SELECT heads.conv_id, placed.pos, placed.role, placed.text
+  FROM heads JOIN placed ON placed.conv_id = heads.first_conv AND placed.pos <= heads.h
+),
+given AS (SELECT heads.conv_id, h, count(begun.pos) AS n FROM heads LEFT JOIN begun ON heads.conv_id = begun.conv_id GROUP BY ALL),
+turns AS (
+  SELECT * FROM begun
+  UNION ALL
+  SELECT placed.conv_id, placed.pos - h + n, role, text FROM placed JOIN given ON placed.conv_id = given.conv_id WHERE placed.pos > h
+),
+whole AS (
+  SELECT given.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS path
+  FROM given LEFT JOIN turns ON given.conv_id = turns.conv_id GROUP BY given.conv_id
+),
+begins AS (SELECT conv_id, len(path) AS size, unnest(range(0, len(path) + 1)) AS depth, path FROM whole),
+nodes AS (
+  SELECT path[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+  FROM begins GROUP BY ALL
+),
+children AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+valued AS (
+  SELECT nodes.*, coalesce(children.n, 0) AS n_children,
+         CASE WHEN nodes.depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(nodes.path[-1].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM nodes LEFT JOIN children ON nodes.path = children.path
+),
+upwards AS (SELECT path, unnest(range(0, depth + 1)) AS above, n_children, saved FROM valued),
+sums AS (
+  SELECT path[1:above] AS path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM upwards GROUP BY ALL
+)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+FROM valued v JOIN sums s ON v.path = s.path LEFT JOIN nodes p ON v.depth > 0 AND p.depth = v.depth - 1 AND p.path = v.path[1:v.depth - 1]
+"""
