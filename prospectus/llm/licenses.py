@@ -11,7 +11,8 @@ coefficient reach the threshold: two sets of a and b members have a coefficient
 Runs are sought for each template: from line to line, twice the template's bigrams that were seen less t times all that were
 seen is the run's score. A run ends with the line of the highest score; it is over when the score is used up or has dropped
 by more than a run that reaches t can hold of other text, (2 - 2t) * b. Then it is followed backwards from its end for the
-line to start with. What is reported has its coefficient computed from the run's own text. Of findings that overlap a run,
+line to start with, whose bigrams are counted without the one that leads to it. A line with bigrams of the template that leaves
+the score as it is belongs to the run, at both ends: all words of a title may stand in the text below. What is reported has its coefficient computed from the run's own text. Of findings that overlap a run,
 the one that exceeds the threshold by most bigrams, (coefficient - t) * (a + b), stays; a run of one line or of all lines is
 that line or the whole. A copy of a licence that follows another within half its length counts with it.
 
@@ -122,8 +123,11 @@ def found_in(unit: Column, grams: Column, templates: Column, threshold: float) -
     return F.array_max(F.transform(F.filter(templates, lambda t: size.between(t["least"], t["most"])), finding))
 
 
-def runs_of(grams: Column, template: Column, threshold: float) -> Column:
-    """First and last of the lines (``grams``: each line's bigrams) that may make a run for ``template``."""
+def runs_of(lines: Column, template: Column, threshold: float) -> Column:
+    """First and last of the ``lines`` that may make a run for ``template``.
+
+    A line has its bigrams with the one that leads to it from the line before (``grams``) and without (``plain``).
+    """
     none = F.array().cast("array<string>")
     slack = (2 - 2 * threshold) * template["size"]
 
@@ -140,14 +144,15 @@ def runs_of(grams: Column, template: Column, threshold: float) -> Column:
         own = F.array(F.struct(run["start"].cast("int").alias("start"), run["end"].cast("int").alias("end")))
         return F.when((run["best"] >= threshold * template["size"] - 2) & (run["end"] > run["start"]), F.concat(run["found"], own)).otherwise(run["found"])
 
-    def step(run: Column, line: Column) -> Column:
+    def step(run: Column, unit: Column) -> Column:
+        line = unit["grams"]
         grown = F.struct(F.array_union(run["seen"], line).alias("seen"), (run["hits"] + F.size(F.array_intersect(F.array_except(line, run["seen"]), template["own"]))).alias("hits"))
 
         def go_on(now: Column) -> Column:
             value = score(now["hits"], now["seen"])
             over = (value <= 0) | (value < run["best"] - slack)
             alone = F.size(F.array_intersect(line, template["own"]))
-            higher = value > run["best"]
+            higher = (value > run["best"]) | ((value == run["best"]) & (alone > 0))
             further = state(now["seen"], now["hits"], run["start"], F.greatest(value, run["best"]), F.when(higher, run["at"]).otherwise(run["end"]), run["found"], run["at"] + 1)
             anew = bound(
                 F.struct(alone.alias("hits"), score(alone, line).alias("value"), ended(run).alias("found")),
@@ -161,23 +166,28 @@ def runs_of(grams: Column, template: Column, threshold: float) -> Column:
 
     def trimmed(run: Column) -> Column:
         """The run from the line on, counted from its end, that gives the highest score."""
-        back = F.reverse(F.slice(grams, run["start"] + 1, run["end"] - run["start"] + 1))
+        back = F.reverse(F.slice(lines, run["start"] + 1, run["end"] - run["start"] + 1))
+
+        def with_line(run_back: Column, line: Column) -> Column:
+            new = F.size(F.array_intersect(F.array_except(line, run_back["seen"]), template["own"]))
+            return F.struct(F.array_union(run_back["seen"], line).alias("seen"), (run_back["hits"] + new).alias("hits"))
 
-        def step_back(run_back: Column, line: Column) -> Column:
-            grown = F.struct(F.array_union(run_back["seen"], line).alias("seen"), (run_back["hits"] + F.size(F.array_intersect(F.array_except(line, run_back["seen"]), template["own"]))).alias("hits"))
+        def step_back(run_back: Column, unit: Column) -> Column:
+            both = F.struct(with_line(run_back, unit["plain"]).alias("begun"), with_line(run_back, unit["grams"]).alias("grown"))
 
             def go_on(now: Column) -> Column:
-                value = score(now["hits"], now["seen"])
-                place = F.when(value > run_back["best"], run_back["at"]).otherwise(run_back["start"])
-                return state(now["seen"], now["hits"], place, F.greatest(value, run_back["best"]), run_back["end"], run_back["found"], run_back["at"] - 1)
+                value = score(now["begun"]["hits"], now["begun"]["seen"])
+                known = F.exists(unit["plain"], lambda gram: F.array_contains(template["own"], gram))
+                place = F.when((value > run_back["best"]) | ((value == run_back["best"]) & known), run_back["at"]).otherwise(run_back["start"])
+                return state(now["grown"]["seen"], now["grown"]["hits"], place, F.greatest(value, run_back["best"]), run_back["end"], run_back["found"], run_back["at"] - 1)
 
-            return bound(grown, go_on)
+            return bound(both, go_on)
 
         first = state(none, F.lit(0), run["end"], F.lit(0.0), run["end"], F.array(), run["end"])
         return F.aggregate(back, first, step_back, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
     nothing = state(none, F.lit(0), F.lit(0), F.lit(0.0), F.lit(0), F.array(), F.lit(0))
-    return F.transform(F.aggregate(grams, nothing, step, ended), trimmed)
+    return F.transform(F.aggregate(lines, nothing, step, ended), trimmed)
 
 
 def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, text: str = "text") -> DataFrame:
@@ -211,11 +221,11 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thre
         return F.struct(words.alias("unit"), line.alias("line"), start.alias("start"), end.alias("end"))
 
     def joined(unit: Column, at: Column) -> Column:
-        """The line's bigrams, with the one that leads to it from the line before."""
+        """The line's bigrams, with and without the one that leads to it from the line before."""
         before = F.when(at > 0, F.substring_index(F.get("__full", at - 1)["unit"], " ", -1))
-        return bigrams(F.concat_ws(" ", before, unit["unit"]))
+        return F.struct(bigrams(F.concat_ws(" ", before, unit["unit"])).alias("grams"), bigrams(unit["unit"]).alias("plain"))
 
-    runs = F.flatten(F.transform("__held", lambda t: bound(F.transform("__full", joined), lambda grams: runs_of(grams, t, threshold))))
+    runs = F.flatten(F.transform("__held", lambda t: bound(F.transform("__full", joined), lambda lines: runs_of(lines, t, threshold))))
     spread = F.filter(F.array_distinct(runs), lambda r: (r["end"] > r["start"]) & ((r["start"] > 0) | (r["end"] < last)))
     out = out.withColumn("__runs", F.when(hopeful, spread).otherwise(F.array().cast(f"array<{_RUN}>")))
     lines = F.transform("__full", lambda x, at: F.struct(x["unit"].alias("unit"), x["line"].alias("line"), at.alias("start"), at.alias("end")))
