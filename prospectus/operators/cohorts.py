@@ -9,6 +9,7 @@ from prospectus.functions import predicates as is_
 from prospectus.functions.scalars import fiscal_year
 from prospectus.operators.fan_out import fan_out_join
 from prospectus.params import ReportParams
+from prospectus.sources.shared import shared
 from prospectus.sources.tables import Tables
 
 # Lookups, staff and other small tables carry no broadcast hint anywhere in this package: Spark broadcasts a side when
@@ -116,14 +117,19 @@ def listed_proposals(t: Tables, p: ReportParams) -> DataFrame:
     )
 
 
-def with_managers(proposals: DataFrame, t: Tables, p: ReportParams) -> DataFrame:
+def listed_keys(t: Tables, p: ReportParams) -> DataFrame:
+    """Proposal and prospect of the listed proposals."""
+    listed = t.proposal.where(is_.is_major_gift() & is_.open_or_stopped_since("stop_date", p.stop_from))
+    return listed.select("proposal_id", "prospect_id")
+
+
+def with_managers(proposals: DataFrame, t: Tables, p: ReportParams, listed: DataFrame | None = None) -> DataFrame:
     """Listed proposals with their prospect's profile, once per distinct active manager of the prospect.
 
     Every side is made distinct on what it contributes before the join. With the proposal key in the row the result is
     distinct by itself, which saves a shuffle of the full-width rows. This is the join that multiplies rows, so whatever
     else a proposal needs is joined before it.
     """
-    listed = t.proposal.where(is_.is_major_gift() & is_.open_or_stopped_since("stop_date", p.stop_from))
     held = t.assignment.where(is_.is_assignment("LM") & F.col("prospect_id").isNotNull())
     primary = t.prospect_entity.where(is_.is_primary("primary_ind") & F.col("prospect_id").isNotNull())
     managers = (
@@ -139,6 +145,7 @@ def with_managers(proposals: DataFrame, t: Tables, p: ReportParams) -> DataFrame
         .select("prospect_id", "priority_code", "assignment_type", "rm_number", "rm_name")
         .distinct()
     )
+    managers = shared(managers)
     entities = (
         primary.select("prospect_id", "id_number")
         .join(
@@ -154,7 +161,8 @@ def with_managers(proposals: DataFrame, t: Tables, p: ReportParams) -> DataFrame
         .drop("id_number")
         .distinct()
     )
-    sizes = tuple(side.select("prospect_id") for side in (listed, primary, held))
+    listed = listed_keys(t, p) if listed is None else listed
+    sizes = tuple(side.select("prospect_id") for side in (listed, primary, managers))
     return fan_out_join(
         proposals, entities, managers, key="prospect_id", sized_by=sizes, rows_per_part=p.rows_per_part
     )

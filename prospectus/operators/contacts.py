@@ -52,24 +52,54 @@ def coverage_tallies(t: Tables, p: ReportParams, days_earlier: int = 0) -> DataF
     )
 
 
+def _activity_counts() -> list[Column]:
+    return [
+        F.count("*").alias("reports"),
+        F.count_if(is_.is_contact()).alias("contacts"),
+        F.count_if(is_.is_visit()).alias("visits"),
+        F.count_if(is_.is_ask_or_special()).alias("ask_or_special"),
+        F.count_if(is_.is_ask()).alias("ask"),
+        F.count_if(is_.is_special()).alias("special"),
+        F.count_if(is_.is_strategy()).alias("strategy"),
+        F.count_if(is_.outcome_in(*is_.UNFAVOURABLE)).alias("dq_nn_nr"),
+        F.count_if(is_.outcome_in("QU")).alias("qu"),
+        F.count_if(is_.has_outcome()).alias("qualified"),
+    ]
+
+
 def activity_tallies(t: Tables, p: ReportParams) -> DataFrame:
     """What each author did for each prospect in the report window."""
     return (
         _reports(t)
         .where(is_.in_window("contact_date", p.window))
         .groupBy(*_PAIR)
-        .agg(
-            F.count("*").alias("reports"),
-            F.count_if(is_.is_contact()).alias("contacts"),
-            F.count_if(is_.is_visit()).alias("visits"),
-            F.count_if(is_.is_ask_or_special()).alias("ask_or_special"),
-            F.count_if(is_.is_ask()).alias("ask"),
-            F.count_if(is_.is_special()).alias("special"),
-            F.count_if(is_.is_strategy()).alias("strategy"),
-            F.count_if(is_.outcome_in(*is_.UNFAVOURABLE)).alias("dq_nn_nr"),
-            F.count_if(is_.outcome_in("QU")).alias("qu"),
-            F.count_if(is_.has_outcome()).alias("qualified"),
-        )
+        .agg(*_activity_counts())
+    )
+
+
+def window_activity(t: Tables, p: ReportParams) -> DataFrame:
+    """Reports in the window, counted once per (prospect, author, entity): the finest grain of ``activity_tallies`` and
+    ``officer_entity_visits``, for reports that need both. Unknown prospects, authors and entities stay null."""
+    return (
+        t.contact_report.where(is_.in_window("contact_date", p.window))
+        .groupBy("prospect_id", "author_id_number", F.col("id_number").alias("entity_id"))
+        .agg(*_activity_counts(), F.count(F.when(is_.is_visit(), F.col("report_id"))).alias("visit_reports"))
+    )
+
+
+def activity_of(window: DataFrame) -> DataFrame:
+    """``activity_tallies`` rolled up from ``window_activity``."""
+    known = window.where(F.col("prospect_id").isNotNull())
+    author = F.coalesce("author_id_number", F.lit("")).alias("author_id")
+    return known.groupBy("prospect_id", author).agg(*[F.sum(c).alias(c) for c in ("reports", *ACTIVITY)])
+
+
+def entity_visits_of(window: DataFrame) -> DataFrame:
+    """Visits per (author, entity) rolled up from ``window_activity``."""
+    return (
+        window.where(F.col("visits") > 0)
+        .groupBy(F.col("author_id_number").alias("officer_id"), "entity_id")
+        .agg(F.sum("visit_reports").alias("visits"))
     )
 
 
@@ -200,9 +230,15 @@ def not_held(visited: DataFrame, t: Tables) -> DataFrame:
     return visited.join(held, ["officer_id", "entity_id"], "left_anti")
 
 
-def outside_entities(cohort: DataFrame, t: Tables, p: ReportParams, anti: bool = True) -> DataFrame:
-    """Entities visited per officer, without those the officer holds unless ``anti`` is off."""
-    visited = officer_entity_visits(cohort, t, p)
+def outside_entities(
+    cohort: DataFrame, t: Tables, p: ReportParams, anti: bool = True, window: DataFrame | None = None
+) -> DataFrame:
+    """Entities visited per officer, without those the officer holds unless ``anti`` is off.
+
+    From ``window`` (``window_activity``), where it is given, all authors are counted: a caller that joins its officers
+    to the counts needs no join with the cohort before.
+    """
+    visited = officer_entity_visits(cohort, t, p) if window is None else entity_visits_of(window)
     if anti:
         visited = not_held(visited, t)
     return visited.groupBy("officer_id").agg(F.count("*").alias("entities"))

@@ -12,7 +12,9 @@ from prospectus.operators.stages import time_at_proposal_stage, time_at_stage
 from prospectus.params import ReportParams
 from prospectus.sources.tables import Tables
 
-# Prospect stage codes and the names used for their count columns.
+# Stage codes whose age is counted, and prospect stage codes with the names of their count columns.
+AGED_STAGES = ("Q", "CU", "SO")
+AGED_PROPOSAL_STAGES = ("RB", "AM")
 STAGE_COUNTS = {"Q": "n_q", "CU": "n_cu", "SO": "n_so", "ST": "n_st", "PL": "n_pl", "PS": "n_ps"}
 
 
@@ -53,11 +55,11 @@ def officer_portfolio(cohort: DataFrame, t: Tables, p: ReportParams) -> DataFram
     )
     offices = t.tms_office.select("office_code", F.col("short_desc").alias("office"))
     units = t.tms_unit_code.select("unit_code", F.col("short_desc").alias("unit"))
+    # staff with their lookups first: the officers' counts then keep their partitioning for the joins that follow
+    described = staff.join(offices, "office_code", "left").join(units, "unit_code", "left")
     return (
         officer_counts(cohort)
-        .join(staff, "officer_id", "left")
-        .join(offices, "office_code", "left")
-        .join(units, "unit_code", "left")
+        .join(described, "officer_id", "left")
         .withColumn("officer_type", officer_type(F.col("unit"), F.col("officer_id"), p))
         .drop("office_code", "unit_code")
     )
@@ -79,28 +81,37 @@ def role_size(t: Tables, atype: str) -> DataFrame:
     )
 
 
+def aged_stages(cohort: DataFrame, t: Tables, p: ReportParams, entries: DataFrame | None = None) -> DataFrame:
+    """Officer and stage code of the prospects that have been at qualification, cultivation or solicitation for a year."""
+    at = time_at_stage(cohort, t, p, entries)
+    return at.where((F.col("years") >= 1) & F.col("stage_code").isin(*AGED_STAGES)).select("officer_id", "stage_code")
+
+
+def aged_proposal_stages(
+    cohort: DataFrame, t: Tables, p: ReportParams, entries: DataFrame | None = None
+) -> DataFrame:
+    """Officer and stage code of the proposals that have been at ask planned or ask made for a year."""
+    at = time_at_proposal_stage(cohort, t, p, entries)
+    chosen = (F.col("years") >= 1) & F.col("stage_code").isin(*AGED_PROPOSAL_STAGES)
+    return at.where(chosen).select("officer_id", "stage_code")
+
+
+def _per_officer(aged: DataFrame, codes: tuple[str, ...]) -> DataFrame:
+    counts = [F.count_if(F.col("stage_code") == code).alias(f"n_{code.lower()}_1y") for code in codes]
+    return aged.groupBy("officer_id").agg(*counts)
+
+
 def stage_age_counts(cohort: DataFrame, t: Tables, p: ReportParams) -> DataFrame:
     """Prospects that have been at qualification, cultivation or solicitation for a year or more, per officer."""
-    return (
-        time_at_stage(cohort, t, p)
-        .where((F.col("years") >= 1) & F.col("stage_code").isin("Q", "CU", "SO"))
-        .groupBy("officer_id")
-        .agg(
-            F.count_if(F.col("stage_code") == "Q").alias("n_q_1y"),
-            F.count_if(F.col("stage_code") == "CU").alias("n_cu_1y"),
-            F.count_if(F.col("stage_code") == "SO").alias("n_so_1y"),
-        )
-    )
+    return _per_officer(aged_stages(cohort, t, p), AGED_STAGES)
 
 
 def proposal_age_counts(cohort: DataFrame, t: Tables, p: ReportParams) -> DataFrame:
     """Proposals that have been at ask planned or ask made for a year or more, per officer."""
-    return (
-        time_at_proposal_stage(cohort, t, p)
-        .where((F.col("years") >= 1) & F.col("stage_code").isin("RB", "AM"))
-        .groupBy("officer_id")
-        .agg(
-            F.count_if(F.col("stage_code") == "RB").alias("n_rb_1y"),
-            F.count_if(F.col("stage_code") == "AM").alias("n_am_1y"),
-        )
-    )
+    return _per_officer(aged_proposal_stages(cohort, t, p), AGED_PROPOSAL_STAGES)
+
+
+def age_counts(cohort: DataFrame, t: Tables, p: ReportParams, entries: DataFrame | None = None) -> DataFrame:
+    """Both counts in one aggregate; the codes of prospects and proposals differ."""
+    aged = aged_stages(cohort, t, p, entries).unionByName(aged_proposal_stages(cohort, t, p, entries))
+    return _per_officer(aged, AGED_STAGES + AGED_PROPOSAL_STAGES)

@@ -12,14 +12,19 @@ from prospectus.params import ReportParams
 from prospectus.sources.tables import Tables
 
 
-def proposal_history(t: Tables) -> DataFrame:
+# Stage codes that "dropped before ask" looks for.
+HISTORY_CODES = ("DP", *is_.ASK_IN_HISTORY)
+
+
+def proposal_history(t: Tables, entries: DataFrame | None = None) -> DataFrame:
     """Per proposal, whether its stage history holds a cancellation and whether it holds an ask.
 
-    One aggregate over the history answers both membership tests of "dropped before ask".
+    One aggregate over the history answers both membership tests of "dropped before ask". ``entries`` is the history with
+    repeated entries left out (``newest_entries``).
     """
-    codes = ("DP", *is_.ASK_IN_HISTORY)
+    codes = HISTORY_CODES
     return (
-        t.stage.where(F.col("stage_code").isin(*codes) & F.col("proposal_id").isNotNull())
+        (t.stage if entries is None else entries).where(F.col("stage_code").isin(*codes) & F.col("proposal_id").isNotNull())
         .groupBy("proposal_id")
         .agg(
             F.max(F.col("stage_code") == "DP").alias("cancelled"),
@@ -28,7 +33,7 @@ def proposal_history(t: Tables) -> DataFrame:
     )
 
 
-def windowed_proposals(t: Tables, p: ReportParams) -> DataFrame:
+def windowed_proposals(t: Tables, p: ReportParams, entries: DataFrame | None = None) -> DataFrame:
     """Major-gift proposals started in the window, marked if dropped before an ask.
 
     History counts only for proposals added in the window.
@@ -37,15 +42,15 @@ def windowed_proposals(t: Tables, p: ReportParams) -> DataFrame:
     return (
         t.proposal.where(is_.is_major_gift() & is_.in_window("start_date", p.window))
         .select("proposal_id", "prospect_id", "stage_code", "date_added")
-        .join(proposal_history(t), "proposal_id", "left")
+        .join(proposal_history(t, entries), "proposal_id", "left")
         .select("proposal_id", "prospect_id", "stage_code", F.coalesce(dropped, F.lit(False)).alias("dropped"))
     )
 
 
-def prospect_proposals(t: Tables, p: ReportParams) -> DataFrame:
+def prospect_proposals(t: Tables, p: ReportParams, entries: DataFrame | None = None) -> DataFrame:
     """Proposal counts per prospect with any in the window."""
     return (
-        windowed_proposals(t, p)
+        windowed_proposals(t, p, entries)
         .where(F.col("prospect_id").isNotNull())
         .groupBy("prospect_id")
         .agg(

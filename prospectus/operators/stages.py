@@ -63,27 +63,47 @@ def stage_days(t: Tables, p: ReportParams, proposals: DataFrame | None = None) -
     return intervals.groupBy("proposal_id").agg(*columns)
 
 
-def time_at_stage(cohort: DataFrame, t: Tables, p: ReportParams) -> DataFrame:
+def newest_entries(t: Tables, codes: tuple[str, ...]) -> DataFrame:
+    """The newest entry per (prospect, proposal, stage code), of the given codes, in one pass over the history.
+
+    ``entry`` orders as ``latest_by`` does (date added, then stage date, nulls first), so entries of a prospect or proposal
+    alone are the greatest of it. Unknown prospects and proposals stay null.
+    """
+    added, staged = F.col("date_added"), F.col("stage_date")
+    entry = F.struct(added.isNull().alias("unknown_added"), added, staged.isNull().alias("unknown_staged"), staged)
+    chosen = t.stage.where(F.col("stage_code").isin(*codes))
+    return chosen.groupBy("prospect_id", "proposal_id", "stage_code").agg(F.max(entry).alias("entry"))
+
+
+def _newest(t: Tables, keys: list[str], entries: DataFrame | None) -> DataFrame:
+    """Keys with the stage date of the newest entry, from ``newest_entries`` where they are given."""
+    if entries is not None:
+        found = entries.dropna(subset=keys).groupBy(*keys).agg(F.max("entry").alias("entry"))
+        return found.select(*keys, "entry.stage_date")
+    rows = t.stage.select(*keys, "date_added", "stage_date")
+    return latest_by(rows, keys, "date_added", ["stage_date"]).drop("date_added")
+
+
+def time_at_stage(cohort: DataFrame, t: Tables, p: ReportParams, entries: DataFrame | None = None) -> DataFrame:
     """When each cohort prospect entered its current stage, credited to one officer only.
 
     All officers of a prospect see the same newest entry, so the credited row is that entry with the first officer id.
+    ``entries`` (``newest_entries``) saves a pass over the history; stages whose code it leaves out have no date then.
     """
     holders = cohort.groupBy("prospect_id", "stage_code").agg(F.min("officer_id").alias("officer_id"))
-    entries = t.stage.select("prospect_id", "stage_code", "date_added", "stage_date")
-    newest = latest_by(entries, ["prospect_id", "stage_code"], "date_added", ["stage_date"]).drop("date_added")
+    newest = _newest(t, ["prospect_id", "stage_code"], entries)
     return holders.join(newest, ["prospect_id", "stage_code"], "left").select(
         "prospect_id", "stage_date", "stage_code", years_between(F.col("stage_date"), now(p)).alias("years"), "officer_id"
     )
 
 
-def time_at_proposal_stage(cohort: DataFrame, t: Tables, p: ReportParams) -> DataFrame:
+def time_at_proposal_stage(cohort: DataFrame, t: Tables, p: ReportParams, entries: DataFrame | None = None) -> DataFrame:
     """The same per major-gift proposal of the cohort's prospects."""
     keys = ["prospect_id", "proposal_id", "stage_code"]
     holders = cohort.groupBy("prospect_id").agg(F.min("officer_id").alias("officer_id"))
     proposals = t.proposal.where(is_.is_major_gift() & F.col("proposal_id").isNotNull()).select(*keys)
-    newest = latest_by(t.stage.select(*keys, "date_added", "stage_date"), keys, "date_added", ["stage_date"])
     return (
         holders.join(proposals, "prospect_id")
-        .join(newest.drop("date_added"), keys, "left")
+        .join(_newest(t, keys, entries), keys, "left")
         .select(*keys, "stage_date", years_between(F.col("stage_date"), now(p)).alias("years"), "officer_id")
     )

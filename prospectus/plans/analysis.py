@@ -14,7 +14,6 @@ from prospectus.operators.contacts import (
     contacts_by_officer,
     contacts_by_prospect,
     coverage_tallies,
-    kept_whole,
     last_qualification,
     recent_contacts_by_officer,
 )
@@ -22,6 +21,7 @@ from prospectus.operators.fan_out import fan_out_join
 from prospectus.operators.giving import last_annual_fund_gift, last_gift, primary_pool
 from prospectus.operators.proposals import max_planned_ask_date
 from prospectus.params import ReportParams
+from prospectus.sources.shared import shared
 from prospectus.sources.tables import Tables
 
 
@@ -45,10 +45,9 @@ def portfolio_analysis(t: Tables, p: ReportParams) -> DataFrame:
     several officers yields a row for every combination. That is the published result and is kept; the rows are few,
     because each side is aggregated to one row per author.
     """
-    cohort = prospect_cohort(t, named=False, require_active_staff=False, start="fallback")
-    tallies = kept_whole(coverage_tallies(t, p, days_earlier=1))
-    pairs = cohort_pairs(cohort)
-    held = by_cohort_officer(pairs, tallies)
+    cohort = shared(prospect_cohort(t, named=False, require_active_staff=False, start="fallback"))
+    tallies = shared(coverage_tallies(t, p, days_earlier=1))
+    held = shared(by_cohort_officer(cohort_pairs(cohort), tallies))
 
     own = contacts_by_officer(held).drop("author_id")
     own = own.withColumnsRenamed({"contacts": "contacts_rm", "visits": "visits_rm", "latest_visit": "latest_visit_rm"})
@@ -78,7 +77,7 @@ def portfolio_analysis(t: Tables, p: ReportParams) -> DataFrame:
         .join(qualified, "prospect_id", "left")
         .join(pool_sheet(t), "prospect_id", "left")
     )
-    sizes = (cohort, pairs, pairs)
+    sizes = (cohort, held, held)
     sheet = fan_out_join(
         sheet, own, own_recent, key="prospect_id", sized_by=sizes, rows_per_part=p.rows_per_part
     )

@@ -12,6 +12,7 @@ from prospectus.operators.contacts import first_ask, visits_by_author, visits_to
 from prospectus.operators.fan_out import fan_out_join
 from prospectus.operators.giving import primary_pool
 from prospectus.params import ReportParams, window_label
+from prospectus.sources.shared import shared
 from prospectus.sources.tables import Tables
 
 
@@ -23,7 +24,7 @@ def om_proposals(t: Tables, p: ReportParams) -> DataFrame:
     """Major-gift proposals of managed prospects, once per cohort row of the prospect."""
     pool = primary_pool(t).select("prospect_id", "abs_high_capacity_ucdt_asks", "abs_high_capacity_ucdt_ask_lvl")
     proposals = t.proposal.where(is_.is_major_gift() & is_.in_window("start_date", p.om_window))
-    cohort = om_cohort(t, p).select("prospect_id")
+    cohort = shared(om_cohort(t, p).select("prospect_id"))
     held = cohort.join(pool, "prospect_id", "left")
     sizes = (proposals.select("prospect_id"), cohort)
     return (
@@ -76,8 +77,8 @@ def om_prospects(t: Tables, p: ReportParams) -> DataFrame:
 
     Ask dates are per officer and start but join on the prospect alone, and visits are per prospect, as published.
     """
-    cohort = om_cohort(t, p)
-    asks = first_ask(cohort, t)
+    cohort = shared(om_cohort(t, p))
+    asks = shared(first_ask(cohort, t))
     ask_dates = asks.select("prospect_id", "ask_date")
     sizes = om_officer_sizes(cohort).select("officer_id", "portfolio_size")
     started = F.col("start_date")
@@ -88,7 +89,7 @@ def om_prospects(t: Tables, p: ReportParams) -> DataFrame:
     )
     return (
         fan_out_join(
-            rows, ask_dates, key="prospect_id", sized_by=(cohort, cohort), rows_per_part=p.rows_per_part
+            rows, ask_dates, key="prospect_id", sized_by=(cohort, asks), rows_per_part=p.rows_per_part
         )
         .select(
             "prospect_id",

@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from prospectus.functions.dates import now
 from prospectus.functions.predicates import PROPOSAL_STAGES
 from prospectus.functions.scalars import safe_ratio
-from prospectus.operators.cohorts import listed_proposals, with_managers
+from prospectus.operators.cohorts import listed_keys, listed_proposals, with_managers
 from prospectus.operators.proposals import lead_solicitors
 from prospectus.operators.stages import stage_days
 from prospectus.params import ReportParams
+from prospectus.sources.shared import shared
 from prospectus.sources.tables import Tables
 
 
 def proposal_stats(t: Tables, p: ReportParams) -> DataFrame:
-    proposals = listed_proposals(t, p)
-    detailed = proposals.join(lead_solicitors(t), "proposal_id", "left").join(
-        stage_days(t, p, proposals), "proposal_id", "left"
+    listed = shared(listed_keys(t, p))
+    detailed = (
+        listed_proposals(t, p)
+        .join(lead_solicitors(t), "proposal_id", "left")
+        .join(stage_days(t, p, listed), "proposal_id", "left")
     )
     asked = F.col("ask_amt")
     return (
-        with_managers(detailed, t, p)
+        with_managers(detailed, t, p, listed)
         .select(
             "proposal_id",
             "proposal_type",

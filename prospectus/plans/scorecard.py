@@ -17,11 +17,19 @@ from pyspark.sql import functions as F
 from prospectus.functions import scalars
 from prospectus.functions.dates import now
 from prospectus.operators.cohorts import cohort_pairs, prospect_cohort
-from prospectus.operators.contacts import activity_tallies, by_cohort_officer, kept_whole, outside_entities
+from prospectus.operators.contacts import activity_of, by_cohort_officer, outside_entities, window_activity
 from prospectus.operators.giving import primary_pool, prospect_giving
-from prospectus.operators.officers import officer_portfolio, proposal_age_counts, role_size, stage_age_counts
-from prospectus.operators.proposals import prospect_proposals
+from prospectus.operators.officers import (
+    AGED_PROPOSAL_STAGES,
+    AGED_STAGES,
+    age_counts,
+    officer_portfolio,
+    role_size,
+)
+from prospectus.operators.proposals import HISTORY_CODES, prospect_proposals
+from prospectus.operators.stages import newest_entries
 from prospectus.params import ReportParams, window_label
+from prospectus.sources.shared import shared
 from prospectus.sources.tables import Tables
 
 # Tests on one author row of a prospect, as measure name -> (tally, least value that counts).
@@ -96,15 +104,18 @@ def capacity_summary(t: Tables) -> DataFrame:
     return primary_pool(t).groupBy("prospect_id").agg(*_named(counts))
 
 
-def prospect_summary(pairs: DataFrame, tallies: DataFrame, t: Tables, p: ReportParams) -> DataFrame:
+def prospect_summary(
+    pairs: DataFrame, tallies: DataFrame, t: Tables, p: ReportParams, entries: DataFrame | None = None
+) -> DataFrame:
     """One row per cohort prospect with everything an officer's counts need of it."""
     officers = {"officers": "count(*)", "prospect_rows": "sum(rows)"}
     officers |= {f"{name}_officers": f"count_if({name}_rows > 0)" for name in PRIORITIES}
     counted = pairs.groupBy("prospect_id").agg(*_named(officers))
     counted = counted.join(author_summary(pairs, tallies), "prospect_id", "left")
-    counted = counted.join(capacity_summary(t), "prospect_id", "left").fillna(0)
+    counted = counted.join(capacity_summary(t), "prospect_id", "left")
+    counted = counted.fillna(0, [c for c in counted.columns if c != "prospect_id"])  # the key stays what it is partitioned by
     gave = prospect_giving(t, p).select("prospect_id", (F.col("given") != 0).alias("gave"))
-    return counted.join(gave, "prospect_id", "left").join(prospect_proposals(t, p), "prospect_id", "left")
+    return counted.join(gave, "prospect_id", "left").join(prospect_proposals(t, p, entries), "prospect_id", "left")
 
 
 def _author_rows(officers: str, filed: str) -> str:
@@ -112,17 +123,16 @@ def _author_rows(officers: str, filed: str) -> str:
     return f"greatest({filed} + if({officers} > {filed}, 1, 0), 1)"
 
 
-def fan_out_measures(cohort: DataFrame, t: Tables, p: ReportParams, own_rows_only: bool) -> DataFrame:
-    """Counts and sums per officer over the joined rows of its cohort.
+def fan_out_measures(
+    cohort: DataFrame, tallies: DataFrame, entries: DataFrame, t: Tables, p: ReportParams, own_rows_only: bool
+) -> DataFrame:
+    """Counts and sums per officer over the joined rows of its cohort, from ``activity_tallies`` and ``newest_entries``.
 
     ``own_rows_only`` is the team-member form: the main contact join then matches the author too, so every cohort row
     meets its own officer's row or none. A missing row has null counts, which pass a "not zero" test.
     """
-    pairs = cohort_pairs(cohort)
-    tallies = activity_tallies(t, p)
-    if own_rows_only:
-        tallies = kept_whole(tallies)
-    prospects = prospect_summary(pairs, tallies, t, p)
+    pairs = shared(cohort_pairs(cohort))
+    prospects = prospect_summary(pairs, tallies, t, p, entries)
     if own_rows_only:
         rows = by_cohort_officer(pairs, tallies).join(prospects, "prospect_id")
     else:
@@ -170,18 +180,20 @@ def officer_scorecard(t: Tables, p: ReportParams, atype: str = "LM") -> DataFram
     the size in the role the scorecard is for.
     """
     team = atype == "S"
-    cohort = prospect_cohort(t, atype)
+    cohort = shared(prospect_cohort(t, atype))
+    window = shared(window_activity(t, p))
+    entries = shared(newest_entries(t, tuple(dict.fromkeys(AGED_STAGES + AGED_PROPOSAL_STAGES + HISTORY_CODES))))
     other_role = role_size(t, "LM" if team else "S").withColumnRenamed("role_size", "other_size")
     counted = reduce(
         lambda left, right: left.join(right, "officer_id", "left"),
         [
-            outside_entities(cohort, t, p, anti=not team),
-            stage_age_counts(cohort, t, p),
-            proposal_age_counts(cohort, t, p),
+            outside_entities(cohort, t, p, anti=not team, window=window),
+            age_counts(cohort, t, p, entries),
         ],
         officer_portfolio(cohort, t, p).withColumnRenamed("portfolio_size", "own_size"),
     ).fillna(0, ["entities", "n_q_1y", "n_cu_1y", "n_so_1y", "n_rb_1y", "n_am_1y"])
-    card = counted.join(fan_out_measures(cohort, t, p, own_rows_only=team), "officer_id", "left")
+    measures = fan_out_measures(cohort, activity_of(window), entries, t, p, own_rows_only=team)
+    card = counted.join(measures, "officer_id", "left")
     card = card.join(other_role, "officer_id", "left")
 
     def with_share(*names: str) -> dict[str, str]:

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from random_tables import random_tables, write
 
 from prospectus import plans
-from prospectus.operators import contacts, giving, stages
+from prospectus.operators import contacts, fan_out, giving, stages
 from prospectus.operators.cohorts import proposal_cohort
 from prospectus.plans.scorecard import officer_scorecard
+from prospectus.sources.shared import shared_folder
 from prospectus.sources.staged import STAGED_PARAMS as P
 from prospectus.sources.tables import load_tables
 
@@ -47,14 +51,24 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def executed_plan(df) -> str:
-    df.collect()
-    return plan_of(df).split("== Initial Plan ==")[0]
+@pytest.fixture
+def plans_of(monkeypatch):
+    """Plans of a report: of the tables it stores on the way, and of its result."""
+    store = DataFrame.checkpoint
+
+    def planned(report, t, p=P) -> list[str]:
+        texts = []
+        with monkeypatch.context() as patch:
+            patch.setattr(DataFrame, "checkpoint", lambda df, *args: texts.append(plan_of(df)) or store(df, *args))
+            result = report(t, p)
+        return [*texts, plan_of(result)]
+
+    return planned
 
 
 @pytest.mark.parametrize("name", REPORTS)
-def test_no_python_and_no_quadratic_joins(t, name, no_broadcast):
-    text = plan_of(REPORTS[name](t, P))
+def test_no_python_and_no_quadratic_joins(t, name, no_broadcast, plans_of):
+    text = "\n".join(plans_of(REPORTS[name], t))
     for operator in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin", "MapInPandas"):
         assert operator not in text
 
@@ -62,22 +76,28 @@ def test_no_python_and_no_quadratic_joins(t, name, no_broadcast):
 FANNED_OUT = {"analysis": 3, "om_proposals": 2, "om_prospects": 2, "proposal_stats": 3}
 
 
-def test_only_lists_of_crowded_keys_are_broadcast(t, no_broadcast):
-    """One for each side of a fan-out join: they have a row for every million result rows at most."""
-    for name, report in REPORTS.items():
-        text = plan_of(report(t, P))
-        assert len(re.findall(r"BroadcastHashJoin", text)) == FANNED_OUT.get(name, 0)
+@pytest.mark.parametrize("name", REPORTS)
+def test_only_lists_of_crowded_keys_are_broadcast(t, name, no_broadcast, plans_of):
+    """One for each side of a fan-out join where there are crowded keys, none otherwise."""
+    for p, expected in ((P, 0), (replace(P, rows_per_part=1), FANNED_OUT.get(name, 0))):
+        assert sum(text.count("BroadcastHashJoin") for text in plans_of(REPORTS[name], t, p)) == expected
+
 
+def test_a_long_list_of_crowded_keys_is_not_broadcast(t, no_broadcast, plans_of, monkeypatch):
+    monkeypatch.setattr(fan_out, "BROADCAST_KEYS", 0)
+    texts = plans_of(plans.portfolio_analysis, t, replace(P, rows_per_part=1))
+    assert not any("BroadcastHashJoin" in text for text in texts)
 
-def test_no_full_outer_join(t, no_broadcast):
+
+def test_no_full_outer_join(t, no_broadcast, plans_of):
     for report in REPORTS.values():
-        assert "FullOuter" not in plan_of(report(t, P))
+        assert not any("FullOuter" in text for text in plans_of(report, t))
 
 
-def test_proposal_stats_scan_proposals_once_and_their_keys_once(t, no_broadcast):
-    text = plan_of(plans.proposal_stats(t, P))
-    reads = [line for line in text.splitlines() if re.search(r"FileScan parquet .*/proposal\]", line)]
-    assert len([line for line in reads if "proposal_title" in line]) == 1
+def test_proposal_stats_scan_proposals_once_and_their_keys_once(t, no_broadcast, plans_of):
+    lines = "\n".join(plans_of(plans.proposal_stats, t)).splitlines()
+    reads = [line for line in lines if re.search(r"FileScan parquet .*/proposal\]", line)]
+    assert len(reads) == 2 and len([line for line in reads if "proposal_title" in line]) == 1
     assert all("ask_amt" not in line for line in reads if "proposal_title" not in line)
 
 
@@ -85,14 +105,36 @@ def scans(text: str, table: str) -> int:
     return len(re.findall(rf"FileScan parquet .*/{table}\]", text))
 
 
-@pytest.mark.parametrize("name, expected", [("percents", 1), ("om_prospects", 1), ("om_visits", 1)])
-def test_reports_scan_contact_reports_once(t, name, expected, no_broadcast):
-    assert scans(executed_plan(REPORTS[name](t, P)), "contact_report") == expected
+# Shuffles and scans planned at most, stored tables included, before Spark reuses any at run time.
+PLANNED = {
+    "percents": (22, {"contact_report": 1, "assignment": 4}),
+    "analysis": (30, {"contact_report": 2, "assignment": 1, "proposal": 1}),
+    "om_proposals": (11, {"assignment": 1}),
+    "om_prospects": (33, {"contact_report": 2, "assignment": 2}),
+    "om_visits": (16, {"contact_report": 1, "assignment": 2}),
+    "proposal_stats": (31, {"proposal": 2, "assignment": 2, "stage": 2}),
+    "scorecard_rm": (45, {"contact_report": 1, "stage": 1, "assignment": 3}),
+    "scorecard_tm": (45, {"contact_report": 1, "stage": 1, "assignment": 3}),
+}
+
+
+@pytest.mark.parametrize("name", PLANNED)
+def test_reports_plan_their_work_once(t, spark, name, no_broadcast, plans_of):
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "false")  # its own reads are not the report's
+    try:
+        texts = plans_of(REPORTS[name], t)
+    finally:
+        spark.conf.unset("spark.sql.optimizer.runtime.bloomFilter.enabled")
+    shuffles, reads = PLANNED[name]
+    assert sum(text.count("Exchange hashpartitioning") for text in texts) <= shuffles
+    for table, most in reads.items():
+        assert sum(scans(text, table) for text in texts) <= most, table
 
 
-@pytest.mark.parametrize("name", ["analysis", "scorecard_rm", "scorecard_tm"])
-def test_one_more_scan_for_qualifications_and_outside_visits(t, name, no_broadcast):
-    assert scans(executed_plan(REPORTS[name](t, P)), "contact_report") == 2
+def test_shared_tables_need_a_folder_on_a_cluster(spark, monkeypatch):
+    session = SimpleNamespace(sparkContext=SimpleNamespace(getConf=dict, getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
 
 
 def test_window_and_type_filters_reach_the_scan(t, spark):
@@ -118,12 +160,12 @@ def test_last_gift_needs_no_sort(t):
 
 @pytest.mark.parametrize("table", ["contact_report", "stage", "ucdr_giving"])
 @pytest.mark.parametrize("name", REPORTS)
-def test_events_are_reduced_before_they_are_joined(t, name, table, no_broadcast):
+def test_events_are_reduced_before_they_are_joined(t, name, table, no_broadcast, plans_of):
     """Going up from every scan of an event table, an aggregate or a per-key limit comes before the first join."""
-    lines = plan_of(REPORTS[name](t, P)).splitlines()
-    for at in [i for i, line in enumerate(lines) if re.search(rf"FileScan parquet .*/{table}\]", line)]:
-        above = [line for line in reversed(lines[:at]) if re.search("HashAggregate|WindowGroupLimit|Join", line)]
-        assert "Join" not in above[0]
+    for lines in map(str.splitlines, plans_of(REPORTS[name], t)):
+        for at in [i for i, line in enumerate(lines) if re.search(rf"FileScan parquet .*/{table}\]", line)]:
+            above = [line for line in reversed(lines[:at]) if re.search("Aggregate|WindowGroupLimit|Join", line)]
+            assert "Join" not in above[0]
 
 
 def test_next_stage_search_is_split_by_day(t, no_broadcast):
