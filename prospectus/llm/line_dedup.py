@@ -237,7 +237,9 @@ def without_near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, distance: in
     """
     gone = removed_lines(docs, min_chars, distance, exact_chars).select(F.col("row").alias("__row"), F.col("lines").alias("__lines"))
     rows = docs.drop("removed_lines").withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains(F.col("__lines"), at)), "\n")
+    # by place: the time is in proportion to the lines of a text, however many of them go
+    stay = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__lines"))
+    left = bound(F.split("text", "\n"), lambda parts: F.array_join(F.transform(stay(parts), lambda at: F.get(parts, at)), "\n"))
     text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(left)
     out = rows.withColumns({"text": text, "removed_lines": F.coalesce(F.size("__lines"), F.lit(0))})
     return out.withColumn("removed_lines", F.greatest("removed_lines", F.lit(0))).drop("__row", "__lines")

@@ -5,7 +5,8 @@ Fourier features approximate a Gaussian kernel over them; each partition sums it
 are added up in a tree, and the driver solves one small system. Isotonic regression on rows that the ridge has not seen
 turns the sums into probabilities. Nothing but sums of bounded size leaves the executors, and all labelled rows count.
 
-Null and empty texts have the statistics of the empty text and a score like any other. A document with several labels has
+Null and empty texts have the statistics of the empty text and a score like any other; very long ones are read whole. An empty
+table gives no rows. A document with several labels has
 their mean; null labels count for nothing. Without any labelled row every score is 0.5. Rows that repeat an id are scored
 each for itself. Null ids are never held out and have no label.
 """
@@ -158,32 +159,44 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every document.
-
-    Labels (``doc_id``, ``quality``) are learnt from rows whose id has remainder 0 or 1 and calibrate those with
-    remainder 3; remainder 2 is held out. Id, language, source and labels are no part of a score.
-    """
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistics(F.col("text")).alias("statistics")))
+def fitted_to(rows: DataFrame, labels: DataFrame) -> QualityModel:
+    """The model of ``rows`` (``doc_id``, ``statistics``) that have labels and are not held out."""
     fold = F.when(remainder(F.col("doc_id")) == 3, "calibrate").otherwise("fit")
     known = labels.where(remainder(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.avg("quality").alias("target")).where("target is not null")
-    model = fitted(rows.join(known, "doc_id").select("statistics", "target", fold.alias("fold")))
+    return fitted(rows.join(known, "doc_id").select("statistics", "target", fold.alias("fold")))
+
+
+def score_of(model: QualityModel) -> Column:
+    """The scores of the column ``statistics``."""
 
     @F.pandas_udf("double")
     def scored(values: pd.Series) -> pd.Series:
         return pd.Series(model.scores(np.stack(values.to_numpy())) if len(values) else [], dtype="float64")
 
+    return scored("statistics")
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every document.
+
+    Labels (``doc_id``, ``quality``) are learnt from rows whose id has remainder 0 or 1 and calibrate those with
+    remainder 3; remainder 2 is held out. Id, language, source and labels are no part of a score.
+    """
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistics(F.col("text")).alias("statistics")))
     held_out = F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False))
-    out = rows.select("doc_id", held_out.alias("held_out"), scored("statistics").alias("score"))
+    out = rows.select("doc_id", held_out.alias("held_out"), score_of(fitted_to(rows, labels)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``docs`` without the documents scored below ``threshold``; all of them where there is no label to learn from.
+    """``docs`` without the rows scored below ``threshold``; all of them where there is no label to learn from.
 
-    Ids that occur more than once are judged by their best row. Rows without an id stay.
+    Every row is judged by its own score, whatever its id, and rows without an id are judged as well. Rows are numbered by the
+    scan: the input must be a table read from files.
     """
     if labels.where(remainder(F.col("doc_id")) != 2).where("quality is not null").isEmpty():
         return docs
-    rejected = quality_scores(docs, labels, threshold).groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0")
-    return docs.join(rejected.select("doc_id"), "doc_id", "left_anti")
+    number = F.monotonically_increasing_id().alias("__row")
+    rows = cut(docs.select(number, F.col("doc_id").cast("long").alias("doc_id"), statistics(F.col("text")).alias("statistics")))
+    rejected = rows.select("__row", score_of(fitted_to(rows, labels)).alias("score")).where(F.col("score") < threshold).select("__row")
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(rejected, "__row", "left_anti").drop("__row")

@@ -99,11 +99,12 @@ def text_size(text: Column) -> Column:
 def placed(docs: DataFrame, shards: int = 16, old_shards: int = 16, old_shard: Column | None = None, blocks: int = BLOCKS) -> DataFrame:
     """``docs`` with ``old_shard``, ``shard`` and ``__row`` (the row's number in the scan), texts and all.
 
-    ``old_shard`` is where a row lies now, from 0; by default the hash of its source.
+    ``old_shard`` is where a row lies now, from 0; by default the hash of its source. It may read any column of ``docs``, also
+    one that is replaced here.
     """
     now = F.coalesce(old_shard, F.lit(0)) if old_shard is not None else F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % old_shards
-    rows = docs.drop("old_shard", "shard", "__row", "__block").withColumn("__row", F.monotonically_increasing_id())
-    rows = rows.withColumn("old_shard", now.cast("int")).withColumn("__block", F.pmod(F.xxhash64("__row"), F.lit(blocks)).cast("int"))
+    rows = docs.withColumn("__old", now.cast("int")).drop("old_shard", "shard", "__row", "__block").withColumnRenamed("__old", "old_shard")
+    rows = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__block", F.pmod(F.xxhash64("__row"), F.lit(blocks)).cast("int"))
     sizes = rows.groupBy("old_shard", "__block").agg(F.sum(text_size(F.col("text"))).alias("size"))
     found = {(row[0], row[1]): row[2] for row in sizes.collect()}  # old_shards * blocks rows at most
     to = deal_blocks(found, old_shards, shards)
@@ -135,11 +136,19 @@ def resharded(docs: DataFrame, shards: int = 16, old_shards: int = 16) -> DataFr
 def rewrite_affected(docs: DataFrame, path: str, shards: int = 16, old_shards: int = 16, old_shard: Column | None = None, files: int = 64) -> list[int]:
     """Write anew the shards below ``path`` (folders ``shard=0`` ...) that lose or receive rows; the numbers of these.
 
-    A shard is dealt over up to ``files`` files. Shards that keep all their rows and get none are left as they are.
+    A shard is dealt over up to ``files`` files. Shards that keep all their rows and get none are left as they are. ``docs`` may
+    be the very table below ``path``, with ``old_shard`` its column ``shard``: new files replace the old ones when all are
+    written. Last, the folders of shards that have lost all their rows are removed.
     """
     rows = placed(docs, shards, old_shards, old_shard)
-    moved = [row[0] for row in rows.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard"))).distinct().collect()]
+    changed = rows.where("old_shard <> shard").groupBy("old_shard", "shard").count().collect()  # old_shards * shards rows at most
+    moved = sorted({row[name] for row in changed for name in ("old_shard", "shard")})
+    left = {row[0] for row in rows.select("shard").distinct().collect()}
     affected = rows.where(F.col("shard").isin(moved) if moved else F.lit(False))
     spread = affected.repartition("shard", F.pmod(F.xxhash64("__row"), F.lit(files)))
     spread.drop("old_shard", "__row").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    return sorted(moved)
+    folder = docs.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files_of = folder.getFileSystem(docs.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    for emptied in set(moved) - left:
+        files_of.delete(folder.suffix(f"/shard={emptied}"), True)
+    return moved

@@ -202,11 +202,14 @@ def simhash_components(docs: DataFrame, words_per_shingle: int = 3, most_bits: i
 
 
 def one_of_each_group(docs: DataFrame, words_per_shingle: int = 3, most_bits: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` with one document of each group: the one of the smallest id. Rows without an id stay.
+    """``docs`` with one row of each group: the one of the smallest id, of equal ids the first of the scan; null ids come last.
 
-    A row that repeats the kept document's id is a copy and goes.
+    Rows are compared as rows: different texts under one id all stay, and rows without an id take part as any other. They are
+    numbered by the scan: the input must be a table read from files.
     """
-    groups = simhash_components(docs, words_per_shingle, most_bits, seed)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    groups = simhash_components(numbered, words_per_shingle, most_bits, seed, row="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    ids = numbered.select("__row", F.col("doc_id").isNull().alias("unknown"), "doc_id")
+    first = F.min(F.struct("unknown", "doc_id", "__row")).alias("first")
+    kept = groups.join(ids, "__row").groupBy("component_id").agg(first).select("first.__row")
+    return numbered.join(kept, "__row", "left_semi").drop("__row")

@@ -152,3 +152,12 @@ def test_a_segment_is_always_found(a, b):
             at = starts[number] + shift
             found |= at >= 0 and b[at : at + lengths[number]] == a[starts[number] : starts[number] + lengths[number]]
     assert found
+
+
+def test_a_document_of_very_many_equal_lines(documents):
+    """The time is in proportion to the lines: a quadratic pass over these would take hours."""
+    n = 1_000_000
+    rows = [(1, "\n".join(["one and the same line of this log file"] * n)), (2, "another text of a single line, as it happens")]
+    out = {row["doc_id"]: row for row in without_near_lines(documents(rows)).collect()}
+    assert out[1]["text"] == "one and the same line of this log file" and out[1]["removed_lines"] == n - 1
+    assert out[2]["removed_lines"] == 0

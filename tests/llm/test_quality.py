@@ -74,7 +74,7 @@ def test_awkward_documents(documents, awkward, spark):
     assert len(rows) == len(awkward)
     assert all(0 <= row["score"] <= 1 for row in rows)
     assert [row["held_out"] for row in rows if row["doc_id"] is None] == [False]
-    assert accepted(docs, labels).where("doc_id is null").count() == 1
+    assert accepted(docs, labels).count() == sum(row["predicted"] for row in rows)  # each row by its own score
     assert all(np.isfinite(statistics_of(text)).all() for _, text in awkward)
 
 
@@ -83,3 +83,14 @@ def test_nothing_to_learn_from(documents, awkward, spark):
     assert {row["score"] for row in quality_scores(docs, labels).collect()} == {0.5}
     assert accepted(docs, labels).count() == len(awkward)
     assert quality_scores(documents([], "none"), labels).count() == 0
+
+
+def test_rows_are_judged_by_their_own_score(spark, documents):
+    """One id on a good and a bad text, and bad texts without an id."""
+    good = lambda i: f"Plain words in a sentence, number {i}, with some rest and quiet.\nAnd a second line of it, as one expects."
+    bad = lambda i: f"BUY NOW!!! {i} $$$ ||| >>> CLICK CLICK CLICK ### " * 5
+    rows = [(i, good(i) if i % 2 else bad(i)) for i in range(200)] + [(1, bad(1_000)), (None, bad(1_001)), (None, good(1_002))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    left = [(row["doc_id"], row["text"]) for row in accepted(documents(rows), labels).collect()]
+    assert (1, good(1)) in left and (None, good(1_002)) in left
+    assert not {text for _, text in left} & {bad(1_000), bad(1_001)}

@@ -6,6 +6,9 @@ from collections import Counter
 
 import numpy as np
 
+import pytest
+from pyspark.sql import functions as F
+
 from prospectus.llm.sharding import deal_blocks, least_moves, placed, resharded, rewrite_affected
 
 
@@ -68,5 +71,26 @@ def test_rewriting_keeps_every_row(spark, documents, tmp_path):
     assert Counter(tuple(r) for r in written.select("doc_id", "shard").collect()) == Counter(tuple(r) for r in expected.select("doc_id", "shard").collect())
 
 
+@pytest.mark.parametrize("old, new", [(4, 2), (2, 4), (4, 4), (5, 1)])
+def test_rewriting_the_layout_it_reads(spark, documents, tmp_path, old, new):
+    """All rows are there once afterwards; shards that keep their rows keep their files."""
+    path = str(tmp_path / "layout")
+    docs = documents([(i, "text " * (1 + i % 9), "src0") for i in range(400)]).withColumn("shard", (F.col("doc_id") % old).cast("int"))
+    docs.repartition("shard").write.partitionBy("shard").parquet(path)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "layout").glob("shard=*/*.parquet")}
+    now = spark.read.parquet(path)
+    moved = rewrite_affected(now, path, shards=new, old_shards=old, old_shard=F.col("shard"), files=2)
+    written = spark.read.parquet(path)
+    assert sorted(row[0] for row in written.select("doc_id").collect()) == list(range(400))
+    assert {row[0] for row in written.select("shard").distinct().collect()} == set(range(new))
+    sizes = [row[0] for row in written.groupBy("shard").agg(F.sum(F.length("text") + 1)).select("sum((length(text) + 1))").collect()]
+    assert max(sizes) - min(sizes) < 200
+    for file, time in files.items():
+        shard = int(file.parent.name.split("=")[1])
+        assert (file.exists() and file.stat().st_mtime_ns == time) == (shard not in moved)
+    again = rewrite_affected(written, path, shards=new, old_shards=max(old, new), old_shard=F.col("shard"), files=2)
+    assert sorted(row[0] for row in spark.read.parquet(path).select("doc_id").collect()) == list(range(400)) and set(again) <= set(range(new))
+
+
 def test_empty_table(documents):
     assert resharded(documents([])).count() == 0

@@ -125,3 +125,12 @@ def test_empty_table_and_bounds(documents, spark):
     assert simhash_components(documents([])).count() == 0
     with pytest.raises(ValueError):
         near_links(spark.range(1).select(F.col("id").alias("fingerprint"), F.col("id").alias("node")), 4)
+
+
+def test_rows_not_ids_decide_what_stays(documents):
+    one, other = "a first text of some seven words here", "quite another one that shares no words with it"
+    rows = [(5, one), (5, other), (None, one), (None, "only once and without any id at all"), (7, one), (3, other + " indeed"), (5, one)]
+    kept = [(row["doc_id"], row["text"]) for row in one_of_each_group(documents(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(5, one), (5, other), (3, other + " indeed"), (None, "only once and without any id at all")], key=str)
+    nameless = one_of_each_group(documents([(None, one)] * 3 + [(None, other)], "nameless")).collect()
+    assert sorted(row["text"] for row in nameless) == sorted([one, other])
