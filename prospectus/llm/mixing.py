@@ -5,6 +5,10 @@ is taken k times, k being the inverse Poisson distribution of its source's rate
 and the document's id; so the choice is the same in every run and needs no state. Copies are numbered from 0 and spread
 over the output by a global shuffle on a hash of seed, id and copy.
 
+The plan holds rates only. Tasks invert the distribution by a search in its steps, which they compute once for each rate;
+those are in number some 24 square roots of it. Where a rate may give a document more than ``BLOCK`` copies, such a document
+is first dealt out as blocks of copies, so that no task writes all of them.
+
 Sources that no weight names, nulls among them, form one group that shares the rest of the weights in proportion to their
 bytes. Rates are computed from all documents: one row for each named source and one for the rest, at most. A document with
 a null id is hashed as the empty string; rows that repeat an id are taken equally often, each for itself. An empty table
@@ -15,7 +19,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from functools import cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +30,9 @@ from pyspark.sql import functions as F
 WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.08, "src3": 0.02, "src4": 0.05}
 SEED = "mixture-1"
 
+#: Copies of one document that one task writes.
+BLOCK = 4096
+
 #: Largest number of the hash, which has 12 hexadecimal digits.
 _RANGE = 16**12
 
@@ -32,9 +42,14 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("long")
 
 
+def first_step(rate: float) -> int:
+    """Copies below this have together less probability than the hash can tell from none."""
+    return max(0, math.floor(rate - 12 * math.sqrt(rate) - 40))
+
+
 def poisson_steps(rate: float) -> list[float]:
-    """The distribution function at 0, 1, 2, ... until it is 1 to the hash's precision; one more copy beyond each."""
-    steps, below, k = [], 0.0, 0
+    """The distribution function at ``first_step``, and on until it is 1 to the hash's precision; one more copy beyond each."""
+    steps, below, k = [], 0.0, first_step(rate)
     while rate > 0 and (below < 1 - 0.5 / _RANGE) and (k <= rate or math.exp(_log_mass(rate, k)) > 1e-18):
         below += math.exp(_log_mass(rate, k))
         steps.append(below)
@@ -42,6 +57,31 @@ def poisson_steps(rate: float) -> list[float]:
     return steps or [1.0]
 
 
+def most_copies(rate: float) -> int:
+    """No document of this rate is taken more often."""
+    return first_step(rate) + len(poisson_steps(rate))
+
+
+@cache
+def _steps(rate: float) -> tuple[int, np.ndarray]:
+    return first_step(rate), np.array(poisson_steps(rate))
+
+
+def copies_of(uniform: Column, rate: Column) -> Column:
+    """The inverse Poisson distribution of ``rate`` at ``uniform``, as a long."""
+
+    @F.pandas_udf("long")
+    def inverse(at: pd.Series, rates: pd.Series) -> pd.Series:
+        out, given = np.zeros(len(at), dtype=np.int64), rates.to_numpy()
+        for each in np.unique(given):
+            first, steps = _steps(float(each))
+            own = given == each
+            out[own] = first + np.searchsorted(steps, at.to_numpy()[own], side="right")
+        return pd.Series(out)
+
+    return inverse(uniform, rate)
+
+
 def _log_mass(rate: float, k: int) -> float:
     return k * math.log(rate) - rate - math.lgamma(k + 1)
 
@@ -70,18 +110,21 @@ def mixed(
     rates = {name: epochs * share * total / sizes[name] if sizes.get(name) else epochs for name, share in shares.items()}
     uniform = hashed(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) / F.lit(float(_RANGE))
 
-    def times(rate: float) -> Column:
-        return F.size(F.filter(F.lit(poisson_steps(rate)), lambda step: step <= F.col("__u")))
-
-    count = times(rates[None])
+    rate = F.lit(rates[None])
     for name in named:
-        count = F.when(F.col("source") == name, times(rates[name])).otherwise(count)
-    # a null source meets no branch above and takes the rest's count
-    taken = kept.withColumn("__u", uniform).withColumn("__n", count).where("__n > 0")
-    copies = taken.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__u", "__n")
+        rate = F.when(F.col("source") == name, F.lit(rates[name])).otherwise(rate)
+    # a null source meets no branch above and takes the rest's rate
+    taken = kept.withColumn("__n", copies_of(uniform, rate.cast("double"))).where("__n > 0")
+    first, last = F.lit(0).cast("long"), F.col("__n") - 1
+    parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if max(map(most_copies, rates.values())) > BLOCK:
+        dealt = taken.withColumn("__block", F.explode(F.sequence(first, F.floor(last / BLOCK))))
+        taken = dealt.withColumn("__row", F.monotonically_increasing_id()).repartition(parts, "__row", "__block").drop("__row")
+        first = F.col("__block") * BLOCK
+        last = F.least(last, first + (BLOCK - 1))
+    copies = taken.withColumn("copy", F.explode(F.sequence(first.cast("int"), last.cast("int")))).drop("__n", "__block")
     identity = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     keyed = copies.withColumn("shuffle_key", hashed(F.lit(seed), F.lit("order"), identity, F.col("copy").cast("string")))
-    parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the row number spreads rows that repeat one id; it is the same when a lost task runs again
     spread = keyed.withColumn("__row", F.monotonically_increasing_id()).repartition(parts, "shuffle_key", "__row")
     return spread.drop("__row").sortWithinPartitions("shuffle_key")

@@ -9,7 +9,9 @@ the word, the perfect Golay code [23, 12, 7] gives a shared key: a word within t
 index, any other the indices of its codeword at three bits and of the five at four bits, and two words that differ in one
 bit always share one; the nine bits complete the key. That is at most 14 keys for a fingerprint, whatever the table's size.
 Fingerprints that share a key are compared bit by bit where they meet, and only links that join two groups leave the task:
-a group of n near copies gives fewer than n links for each key, not all pairs.
+a group of n near copies gives fewer than n links for each key, not all pairs. The fingerprints of a key that more than
+``CROWD`` share are dealt into blocks of about half as many; each two blocks meet in a group of their own, so a group holds
+about ``CROWD`` fingerprints however many share a key.
 
 Equal fingerprints are one node from the start. Nulls and texts without words have fingerprint zero and are linked like
 any other; texts of fewer words than a shingle have one shingle. Rows with a null id have a fingerprint and the component
@@ -32,8 +34,9 @@ from prospectus.llm.common import components, cut
 #: Fixed value: the generator polynomial of the perfect Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
 
-#: Fingerprints compared at once; a key's rows may be more.
+#: Fingerprints read at once, and those of one group compared.
 CHUNK = 1 << 20
+CROWD = 1 << 14
 
 
 def fingerprint_of(text: str | None, words_per_shingle: int, seed: int) -> int:
@@ -183,12 +186,29 @@ def near_links(prints: DataFrame, most_bits: int = 3) -> DataFrame:
         if held:
             yield links(pd.concat(held, ignore_index=True))
 
-    keys = prints.select("fingerprint", "node").mapInPandas(keyed, "key long, fingerprint long, node long")
+    keys = cut(prints.select("fingerprint", "node").mapInPandas(keyed, "key long, fingerprint long, node long"))
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = keys.repartition(parts, "key").sortWithinPartitions("key")
+    met = in_groups(keys, CROWD).repartition(parts, "key").sortWithinPartitions("key")
     return met.mapInPandas(linked, "a long, b long").distinct()
 
 
+def in_groups(keys: DataFrame, crowd: int) -> DataFrame:
+    """Rows of ``keys``, those of a key of more than ``crowd`` rows once for each group that compares them.
+
+    A crowded key's rows fall into blocks by their fingerprint; a group is a pair of different blocks, and its number, a hash of
+    the key and both, takes the key's place. Any two rows of a key share a group. Groups that share a number by chance are
+    compared with each other as well, which changes no link.
+    """
+    counts = keys.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > crowd)
+    crowded = cut(counts.select("key", F.ceil(2 * F.col("held") / crowd).cast("int").alias("blocks")))
+    if crowded.isEmpty():
+        return keys
+    own, others = F.pmod(F.xxhash64(F.lit("block"), "fingerprint"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = keys.join(crowded, "key").withColumn("own", own).withColumn("other", F.explode(others)).where("own <> other")
+    group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")
+    return keys.join(crowded, "key", "left_anti").unionByName(dealt.select(group, "fingerprint", "node"))
+
+
 def simhash_components(docs: DataFrame, words_per_shingle: int = 3, most_bits: int = 3, seed: int = 42, row: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its id, ``fingerprint`` (16 hex digits) and ``component_id``.
 

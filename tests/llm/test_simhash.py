@@ -7,7 +7,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from prospectus.llm.simhash import Golay, fingerprint_of, joining_links, keys_of, near_links, one_of_each_group, simhash_components
+from prospectus.llm import simhash
+from prospectus.llm.common import components
+from prospectus.llm.simhash import Golay, fingerprint_of, in_groups, joining_links, keys_of, near_links, one_of_each_group, simhash_components
 
 
 def plain_fingerprint(text, size=3):
@@ -108,8 +110,6 @@ def test_random_prints_against_all_pairs(spark):
         prints.setdefault(own, node)
     rows = [(own, node) for own, node in prints.items()]
     frame = spark.createDataFrame(rows, "fingerprint long, node long")
-    from prospectus.llm.common import components
-
     found = {row["node"]: row["component"] for row in components(near_links(frame)).collect()}
     low = grouped({node: own % 2**64 for own, node in rows}, 3)
     assert all(found.get(node, node) == low[node] for node in low)
@@ -121,6 +121,30 @@ def test_a_large_group_gives_few_links(spark):
     assert near_links(frame).count() < 28 * frame.count()
 
 
+def test_crowded_keys_are_compared_in_bounded_groups(spark, monkeypatch):
+    """Variants that share one half: every pair of a key's rows meets, no group is large, the components are those of all pairs."""
+    random = np.random.default_rng(5)
+    prints = {int(p): n for n, p in enumerate(random.integers(0, 1 << 9, 900) | 5 << 40)} | {int(p) << 32: 5_000 + n for n, p in enumerate(random.integers(0, 1 << 31, 200))}
+    frame = spark.createDataFrame([(own, node) for own, node in prints.items()], "fingerprint long, node long")
+    keyed = frame.select((F.col("node") < 5_000).cast("long").alias("key"), "fingerprint", "node")
+    groups = {}
+    for row in in_groups(keyed, 100).collect():
+        groups.setdefault(row["key"], []).append(row["node"])
+    assert max(map(len, groups.values())) < 200
+    together = {(a, b) for group in groups.values() for a in group for b in group}
+    crowd = [node for node in prints.values() if node < 5_000]
+    assert all((a, b) in together for a in crowd for b in crowd)
+
+    def found():
+        return {row["node"]: row["component"] for row in components(near_links(frame)).collect()}
+
+    low = grouped({node: own for own, node in prints.items()}, 3)
+    for size in (simhash.CROWD, 50):
+        monkeypatch.setattr(simhash, "CROWD", size)
+        of = found()
+        assert all(of.get(node, node) == low[node] for node in low)
+
+
 def test_empty_table_and_bounds(documents, spark):
     assert simhash_components(documents([])).count() == 0
     with pytest.raises(ValueError):
