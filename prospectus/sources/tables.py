@@ -102,13 +102,67 @@ def write_tables(tables: Tables, root: str, mode: str = "errorifexists") -> None
     groups by their statistics without a partition column in the path. Rows of one date, or without one, are parted by a
     second column and a hash of the row, so a bulk load of a single day still spreads over files.
     """
+    for table in TABLE_NAMES:
+        _by_date(getattr(tables, table), table).write.mode(mode).parquet(f"{root}/{table}")
+
+
+def _by_date(df: DataFrame, table: str) -> DataFrame:
+    if table not in EVENT_DATES:
+        return df
+    date, second = EVENT_DATES[table]
+    df = df.withColumn("_spread", F.xxhash64(*df.columns))
+    return df.repartitionByRange(date, second, "_spread").sortWithinPartitions(date, second).drop("_spread")
+
+
+# Tables that reports join and count by a key with many values, and that key.
+JOIN_KEYS = {
+    "prospect": "prospect_id",
+    "assignment": "prospect_id",
+    "contact_report": "prospect_id",
+    "proposal": "prospect_id",
+    "stage": "prospect_id",
+    "prospect_entity": "prospect_id",
+    "ucdr_prospect_pool": "prosp_id",
+}
+
+
+def crowded_bucket(df: DataFrame, key: str, buckets: int, crowd: float, least_rows: int) -> bool:
+    """Whether one key (null included) alone has more rows than ``crowd`` even buckets, and more than ``least_rows``."""
+    counts = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    return (counts["most"] or 0) > max(least_rows, crowd * (counts["all"] or 0) / buckets)
+
+
+def write_bucketed(
+    tables: Tables,
+    schema: str,
+    buckets: int,
+    mode: str = "errorifexists",
+    crowd: float = 4.0,
+    least_rows: int = 1_000_000,
+) -> list[str]:
+    """Store the tables in the catalog as ``schema.<table>``, those with a join key in ``buckets`` buckets of it.
+
+    Joins and counts by the key then need no shuffle; ``tables_from_catalog`` reads them. Inside a bucket event tables
+    are ordered by date, so a window filter still skips row groups. For joins by the key and more columns, set
+    ``spark.sql.requireAllClusterKeysForCoPartition`` to false.
+
+    A bucket is read by one task, whatever its size. So a table of which one key alone has more rows than ``crowd`` even
+    buckets (and than ``least_rows``) is stored in date order instead, as ``write_tables`` does, and its joins shuffle,
+    where Spark can split the key. Returns the names of the tables that were bucketed. An empty table is bucketed too.
+    """
+    bucketed = []
     for table in TABLE_NAMES:
         df = getattr(tables, table)
-        if table in EVENT_DATES:
-            date, second = EVENT_DATES[table]
-            df = df.withColumn("_spread", F.xxhash64(*df.columns))
-            df = df.repartitionByRange(date, second, "_spread").sortWithinPartitions(date, second).drop("_spread")
-        df.write.mode(mode).parquet(f"{root}/{table}")
+        key, (date, _) = JOIN_KEYS.get(table), EVENT_DATES.get(table, (None, None))
+        if key is None or crowded_bucket(df, key, buckets, crowd, least_rows):
+            _by_date(df, table).write.mode(mode).format("parquet").saveAsTable(f"{schema}.{table}")
+            continue
+        order = [date] if date else [key]
+        # dealt like the buckets, so that each is one file
+        writer = df.repartition(buckets, key).write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(*order)
+        writer.saveAsTable(f"{schema}.{table}")
+        bucketed.append(table)
+    return bucketed
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", **options: str) -> None:

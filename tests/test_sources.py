@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from random_tables import random_tables, write
@@ -7,9 +9,10 @@ from random_tables import random_tables, write
 from prospectus import plans
 from prospectus.params import ReportParams, window_label
 from prospectus.plans import labels
+from prospectus.plans.percents import coverage_by_officer
 from prospectus.sources.schemas import TABLE_NAMES, schema_of
 from prospectus.sources.staged import STAGED_PARAMS, stage_tables
-from prospectus.sources.tables import Tables, conform, load_tables, tables_from_catalog, write_report, write_tables
+from prospectus.sources.tables import Tables, conform, load_tables, tables_from_catalog, write_bucketed, write_report, write_tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -71,6 +74,56 @@ def test_catalog_tables(spark, tmp_path):
             spark.catalog.dropTempView(name)
 
 
+@pytest.fixture
+def catalog(spark, tmp_path):
+    """A schema of its own, with the settings under which nothing is broadcast and bucketed sides stay where they are."""
+    settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.enabled": "false"}
+    spark.sql(f"CREATE DATABASE bucketed_test LOCATION '{tmp_path}/db'")
+    yield lambda: [spark.conf.set(*setting) for setting in settings.items()]
+    for name in settings:
+        spark.conf.unset(name)
+    spark.sql("DROP DATABASE bucketed_test CASCADE")
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path, catalog):
+    """The same report; the reports' counts meet the cohort where both are stored."""
+    write(random_tables(4), str(tmp_path))
+    plain = load_tables(spark, str(tmp_path))
+    stored = write_bucketed(plain, "bucketed_test", 3)
+    assert {"assignment", "contact_report", "proposal", "stage"} <= set(stored) and "ucdr_giving" not in stored
+    t = tables_from_catalog(spark, "bucketed_test")
+    for name in ("contact_report", "ucdr_giving", "ucdr_prospect_pool"):
+        assert getattr(t, name).exceptAll(getattr(plain, name)).isEmpty() and getattr(t, name).count() == getattr(plain, name).count()
+    assert plans.portfolio_percents(t, STAGED_PARAMS).collect() == plans.portfolio_percents(plain, STAGED_PARAMS).collect()
+    catalog()
+    reports = t.contact_report.groupBy("prospect_id", "author_id_number").agg(F.count("*").alias("n"))
+    officers = t.assignment.groupBy("prospect_id", "assignment_id_number").agg(F.count("*").alias("rows"))
+    joined = reports.join(officers.withColumnRenamed("assignment_id_number", "author_id_number"), ["prospect_id", "author_id_number"])
+    text = joined.groupBy("prospect_id").agg(F.sum(F.col("n") * F.col("rows")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "SortMergeJoin" in text
+
+    # the coverage report: only the cohort moves, as it is first joined to the staff list by officer; it is used three times
+    planned = [coverage_by_officer(x, STAGED_PARAMS)._jdf.queryExecution().executedPlan().toString() for x in (t, plain)]
+    by_prospect = [len(re.findall(r"Exchange hashpartitioning\(prospect_id", text)) for text in planned]
+    assert by_prospect[0] == 3 < by_prospect[1]
+    lines = planned[0].splitlines()
+    scan = next(i for i, line in enumerate(lines) if "bucketed_test.contact_report" in line)
+    join = max(i for i in range(scan) if "SortMergeJoin" in lines[i])
+    assert not any("Exchange" in line for line in lines[join:scan])
+
+
+def test_crowded_keys_are_not_bucketed(spark, tmp_path, catalog):
+    """A third of all reports on one prospect would be one task's: such a table keeps its date order."""
+    write(random_tables(4), str(tmp_path))
+    plain = load_tables(spark, str(tmp_path))
+    hot = plain.contact_report.limit(1).crossJoin(spark.range(2_000).drop("id"))
+    tables = Tables(lambda name: plain.contact_report.unionByName(hot) if name == "contact_report" else getattr(plain, name))
+    stored = write_bucketed(tables, "bucketed_test", 16, least_rows=1_000)
+    assert "contact_report" not in stored and "assignment" in stored
+    assert spark.table("bucketed_test.contact_report").count() == tables.contact_report.count()
+
+
 def test_report_is_written_under_display_names(spark, tmp_path):
     t = stage_tables(spark, SMALL)
     report = labels.with_labels(plans.portfolio_percents(t, STAGED_PARAMS), labels.PERCENTS)
