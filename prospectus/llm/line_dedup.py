@@ -11,7 +11,8 @@ whole in the longer, near its own place. Segments are indexed under the line's l
 line probes the index for its own length and each shorter one in reach, at the few places where a match still leaves the rest
 within the distance on both sides. Keys that one line alone has are dropped where they meet; the lines of the others are
 verified as a condition of the join, so pairs that are not links are never emitted, however many variants of a line share a
-segment.
+segment. Rows are counted by ``BUCKETS`` remainders of their key first: where one holds a crowd, its keys are counted by map-side
+aggregation and joined back, which Spark splits; the others meet in a window. Either way gives the same rows.
 
 Verification: common beginnings and ends are cut off; the rest runs through a banded, bit-parallel edit automaton: for each
 number of edits, one word holds the diagonals of the band that can be reached, and a character moves all of them at once.
@@ -31,6 +32,8 @@ from prospectus.llm.common import components, cut, stored
 
 MIN_CHARS, DISTANCE = 20, 2
 MARKS = 1 << 20
+#: Remainders of keys by which their rows are counted, and the rows that one may hold at least before it counts as crowded.
+BUCKETS, CROWD = 1 << 16, 1_000_000
 _LAST = 2**63 - 1
 
 
@@ -153,9 +156,12 @@ def within_distance(a: Column, b: Column, distance: int) -> Column:
 
 
 def distinct_lines(docs: DataFrame, min_chars: int, exact_chars: int | None = None) -> DataFrame:
-    """Lines that take part: ``line_id``, ``check_id``, ``line``, ``doc`` (first document) and ``n`` (times it occurs)."""
+    """Lines that take part: ``line_id``, ``hash_a``, ``hash_b``, ``line``, ``doc`` (first document) and ``n`` (times it occurs).
+
+    ``line_id`` is an even number of the row, no hash, and differs between lines. It holds once the rows are stored.
+    """
     found = participating(docs, min_chars, exact_chars).groupBy("line").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
-    return found.select(*line_ids(), "line", "doc", "n")
+    return found.select(F.shiftleft(F.monotonically_increasing_id(), 1).alias("line_id"), *line_hashes(), "line", "doc", "n")
 
 
 def participating(docs: DataFrame, min_chars: int, exact_chars: int | None = None) -> DataFrame:
@@ -168,32 +174,64 @@ def participating(docs: DataFrame, min_chars: int, exact_chars: int | None = Non
     return lines.where(long if exact_chars is None else long | ((F.length("line") >= exact_chars) & F.col("line").rlike(r"(?U)\S")))
 
 
-def line_ids() -> list[Column]:
-    """Two independent hashes; the first, with an even number, stands for the line in the join."""
-    return [F.shiftleft(F.shiftright(F.xxhash64("line"), 1), 1).alias("line_id"), F.xxhash64(F.lit(7), "line").alias("check_id")]
+def line_hashes() -> list[Column]:
+    """Two independent hashes of 64 bits, which together stand for the line where its text need not travel."""
+    return [F.xxhash64("line").alias("hash_a"), F.xxhash64(F.lit(7), "line").alias("hash_b")]
+
+
+def among(places: DataFrame, size: int) -> Callable[[Column], Column]:
+    """A condition on numbers below ``size`` that holds for those in ``places`` (``place``): one bit for each number."""
+    piece, bit = F.bitmap_bucket_number(F.col("place") + 1), F.bitmap_bit_position(F.col("place") + 1)
+    bits = bytearray(size // 8)
+    for row in places.groupBy(piece.alias("piece")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect():  # size / 32,768 rows
+        bits[(row["piece"] - 1) * 4096 : row["piece"] * 4096] = row["bits"]
+
+    def is_in(place: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.getbit(byte, (place % 8).cast("int")) == 1
+
+    return is_in
 
 
 def marked(ids: DataFrame) -> Column:
-    """A condition on ``line_id`` that holds for all ids in ``ids``, and for a few others: one bit for each hash.
+    """A condition on ``line_id`` that holds for all ids in ``ids``, and for a few others.
 
     It spares the join that follows most rows it has no use for. The bits are ``MARKS`` whatever the table's size; where
     nearly all are set, the condition just lets all rows pass.
     """
     place = F.pmod(F.xxhash64("line_id"), F.lit(MARKS))
-    piece, bit = F.bitmap_bucket_number(place + 1), F.bitmap_bit_position(place + 1)
-    bits = bytearray(MARKS // 8)
-    for row in ids.groupBy(piece.alias("piece")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect():  # MARKS / 32,768 rows
-        bits[(row["piece"] - 1) * 4096 : row["piece"] * 4096] = row["bits"]
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (place % 8).cast("int")) == 1
+    return among(ids.select(place.alias("place")), MARKS)(place)
 
 
-def near_lines(lines: DataFrame, distance: int) -> DataFrame:
-    """Links ``a``, ``b`` (line ids) between different ``lines`` (``line_id``, ``line``) within ``distance`` edits."""
-    key = Window.partitionBy("key")
+def shared_keys(keys: DataFrame, crowd: int) -> DataFrame:
+    """Rows of ``keys`` (``key``, ``holder``) whose key several lines have and one at least has in the index.
+
+    A remainder of the keys is crowded with over ``crowd`` rows and over four times the mean, so at most a quarter of them are.
+    Only the number of rows at each decides which way its rows take.
+    """
+    bucket = F.pmod("key", F.lit(BUCKETS))
+    facts = {"indexed": F.count_if(F.col("holder").bitwiseAND(1) == 1), "least": F.min("holder"), "most": F.max("holder")}
+    alive = (F.col("indexed") > 0) & (F.shiftright("least", 1) != F.shiftright("most", 1))
+
+    def windowed(rows: DataFrame) -> DataFrame:
+        key = Window.partitionBy("key")
+        return rows.withColumns({name: fact.over(key) for name, fact in facts.items()}).where(alive).select("key", "holder")
+
+    sizes = cut(keys.groupBy(bucket.alias("place")).agg(F.count("*").alias("n")))  # BUCKETS rows at most
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    least = max(crowd, 4 * (total or 0) // BUCKETS)
+    if (largest or 0) <= least:
+        return windowed(keys)
+    crowded = among(sizes.where(F.col("n") > least), BUCKETS)(bucket)
+    met = keys.where(crowded).groupBy("key").agg(*[fact.alias(name) for name, fact in facts.items()]).where(alive)
+    return windowed(keys.where(~crowded)).unionByName(keys.where(crowded).join(met.select("key"), "key", "left_semi"))
+
+
+def near_lines(lines: DataFrame, distance: int, crowd: int = CROWD) -> DataFrame:
+    """Links ``a``, ``b`` (line ids) between different ``lines`` (``line_id``, even, and ``line``) within ``distance`` edits."""
+    shared = shared_keys(segment_keys(lines, distance), crowd)
     own = F.col("holder").bitwiseAND(1) == 1
-    met = segment_keys(lines, distance).withColumns({"indexed": F.count_if(own).over(key), "least": F.min("holder").over(key), "most": F.max("holder").over(key)})
-    alive = cut(met.where((F.col("indexed") > 0) & (F.shiftright("least", 1) != F.shiftright("most", 1))).select("key", F.shiftleft(F.shiftright("holder", 1), 1).alias("line_id"), own.alias("own")))
+    alive = cut(shared.select("key", F.shiftleft(F.shiftright("holder", 1), 1).alias("line_id"), own.alias("own")))
     wanted = alive.select("line_id").distinct()
     texts = lines.select("line_id", "line").where(marked(wanted)).join(wanted, "line_id")
     held = cut(alive.join(texts, "line_id"))
@@ -207,14 +245,14 @@ def near_lines(lines: DataFrame, distance: int) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS, distance: int = DISTANCE, exact_chars: int | None = None) -> DataFrame:
-    """Lines that occur more than once or are linked: ``line_id``, ``check_id``, ``class_id`` and ``owner`` (first document
+    """Lines that occur more than once or are linked: ``hash_a``, ``hash_b``, ``class_id`` and ``owner`` (first document
     of the class)."""
     if min_chars <= distance:
         raise ValueError("lines need a character for each segment: min_chars must be over distance")
     lines = stored(distinct_lines(docs, min_chars, exact_chars))
     groups = components(near_lines(lines.where(F.length("line") >= min_chars), distance)).withColumnsRenamed({"node": "line_id", "component": "class_id"})
-    narrow = lines.select("line_id", "check_id", "doc", "n").join(groups, "line_id", "left").where("n > 1 or class_id is not null")
-    classed = cut(narrow.select("line_id", "check_id", "doc", F.coalesce("class_id", "line_id").alias("class_id")))
+    narrow = lines.select("line_id", "hash_a", "hash_b", "doc", "n").join(groups, "line_id", "left").where("n > 1 or class_id is not null")
+    classed = cut(narrow.select("hash_a", "hash_b", "doc", F.coalesce("class_id", "line_id").alias("class_id")))
     owners = classed.groupBy("class_id").agg(F.min("doc").alias("owner"))
     return classed.drop("doc").join(owners, "class_id")
 
@@ -222,11 +260,12 @@ def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS, distance: int = DI
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, distance: int = DISTANCE, exact_chars: int | None = None) -> DataFrame:
     """``row`` (of the scan) and ``lines`` (places, from 0) that go from it."""
     classes = line_classes(docs, min_chars, distance, exact_chars)
-    places = participating(docs, min_chars, exact_chars).select("row", "doc", "at", *line_ids()).join(classes, ["line_id", "check_id"])
+    places = participating(docs, min_chars, exact_chars).select("row", "doc", "at", *line_hashes()).join(classes, ["hash_a", "hash_b"])
     places = cut(places.select("row", "doc", "at", "class_id", "owner"))
-    first = Window.partitionBy("class_id").orderBy("row", "at")
-    later = places.where("doc = owner").withColumn("nth", F.row_number().over(first)).where("nth > 1")
-    gone = places.where("doc <> owner").select("row", "at").unionByName(later.select("row", "at"))
+    owned = places.where("doc = owner").select("class_id", F.struct("row", "at").alias("place"))
+    firsts = owned.groupBy("class_id").agg(F.min("place").alias("first"))  # documents without an id are one owner
+    later = owned.join(firsts, "class_id").where("place <> first").select("place.row", "place.at")
+    gone = places.where("doc <> owner").select("row", "at").unionByName(later)
     return gone.groupBy("row").agg(F.collect_list("at").alias("lines"))  # at most the lines of one document
 
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from prospectus.llm.line_dedup import marked, near_lines, probe_places, within_distance, without_near_lines
+from prospectus.llm.line_dedup import CROWD, marked, near_lines, probe_places, segment_keys, shared_keys, within_distance, without_near_lines
 from prospectus.llm.queries import op3_line_dedup
 
 
@@ -78,18 +78,42 @@ def test_marks_hold_for_all_ids(spark):
     assert every.where(marked(ids.limit(0))).count() == 0
 
 
-def test_links_against_all_pairs(spark):
+@pytest.mark.parametrize("crowd", [CROWD, 40, 0])
+def test_links_against_all_pairs(spark, crowd):
+    """With all keys in windows, with some remainders crowded, and with all of them."""
     random = np.random.default_rng(4)
     lines = set()
     for _ in range(30):
         line = "".join(random.choice(list("abcde "), random.integers(20, 60)))
         lines |= {line} | {edited(random, line, n) for n in random.integers(1, 6, 5)}
     rows = [(2 * i, line) for i, line in enumerate(sorted(lines))]
-    found = {tuple(sorted(row)) for row in near_lines(spark.createDataFrame(rows, "line_id long, line string"), 2).collect()}
+    found = {tuple(sorted(row)) for row in near_lines(spark.createDataFrame(rows, "line_id long, line string"), 2, crowd).collect()}
     wanted = {(i, j) for i, a in rows for j, b in rows if i < j and edits(a, b) <= 2}
     assert found == wanted
 
 
+def test_crowded_keys_meet_in_no_window(spark):
+    """A segment that 3,000 variants of a line share is counted by aggregation; the rows are those of the window."""
+    lines = [(2 * i, f"{'common beginning of the line':>28} {i * 7919:08d} {i * 104729:012d}") for i in range(3_000)]
+    keys = segment_keys(spark.createDataFrame(lines, "line_id long, line string"), 2)
+    crowded = shared_keys(keys, 1_000)
+    plan = crowded._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "LeftSemi" in plan
+    largest = keys.groupBy("key").count().agg(F.max("count")).first()[0]
+    assert largest >= 3_000
+    by_window = shared_keys(keys, CROWD)
+    assert "LeftSemi" not in by_window._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, crowded.collect())) == sorted(map(tuple, by_window.collect()))
+
+
+def test_documents_without_an_id_keep_one(documents):
+    """They count as one owner: the first of their rows keeps the line, each other one loses it, in all its places."""
+    line = "This line is on every page of the site."
+    rows = [(None, f"{line}\n{line}\npage {i * 7919} of the book {i}") for i in range(200)]
+    left = [row["text"].count(line) for row in without_near_lines(documents(rows)).collect()]
+    assert sorted(left) == [0] * 199 + [1]
+
+
 def test_texts_against_all_pairs(documents):
     random = np.random.default_rng(5)
     base = ["".join(random.choice(list("abcde "), random.integers(15, 50))) for _ in range(25)]
