@@ -70,6 +70,11 @@ _SPOUSE = "CASE WHEN c_custkey % 3 = 0 THEN {} END"
 
 _LINES = (("lineitem", None), ("orders", "l_orderkey = o_orderkey"))
 
+# Tables whose queries go on in the tasks of the join that makes them, with sorts and hash tables of their own.
+_LONG_TASKS = ("stage",)
+#: Rows of the first table of such a join that one task takes, on average.
+ROWS_PER_TASK = 500_000
+
 # table -> list of (sources with join conditions, filter, columns); several entries are united with UNION ALL.
 _MAPPING: dict[str, list[tuple[tuple, str | None, dict[str, str]]]] = {
     "prospect": [((("customer", None),), None, {
@@ -229,7 +234,7 @@ def _values_sql(rows: list[tuple[str, ...]]) -> str:
 
 
 def stage_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The source tables over the test tables in ``sf_dir``; every read is lazy."""
+    """The source tables over the test tables in ``sf_dir``; every read is lazy, but for the row count of ``tasks``."""
 
     @cache
     def physical(name: str) -> DataFrame:
@@ -238,11 +243,22 @@ def stage_tables(spark: SparkSession, sf_dir: str) -> Tables:
             return physical("orders").groupBy(F.col("o_custkey").alias("m_custkey")).agg(F.max(price).alias("mx"))
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    def part(sources: tuple, condition: str | None, columns: dict[str, str]) -> DataFrame:
+    @cache
+    def tasks(name: str) -> int:
+        """Tasks for a join of the table ``name``, from its number of rows (which Parquet footers tell); 0: as Spark likes."""
+        wanted = -(-physical(name).count() // ROWS_PER_TASK)
+        return wanted if wanted > spark.sparkContext.defaultParallelism else 0
+
+    def part(sources: tuple, condition: str | None, columns: dict[str, str], long_tasks: bool = False) -> DataFrame:
         (first, _), *others = sources
         df = physical(first)
         for name, on in others:
-            df = df.join(physical(name), F.expr(on), "left" if name == "m" else "inner")
+            other = physical(name)
+            # adaptive execution goes by shuffled bytes alone, of which a row has few, and would put millions of rows into a task
+            if long_tasks and tasks(first):
+                key, other_key = on.split(" = ")
+                df, other = df.repartition(tasks(first), key), other.repartition(tasks(first), other_key)
+            df = df.join(other, F.expr(on), "left" if name == "m" else "inner")
         if condition:
             df = df.where(condition)
         typed = {c: e.replace("TIMESTAMP '", "TIMESTAMP_NTZ '") for c, e in columns.items()}
@@ -251,7 +267,7 @@ def stage_tables(spark: SparkSession, sf_dir: str) -> Tables:
     def read(table: str) -> DataFrame:
         if table in _LOOKUPS:
             return spark.sql(staged_sql(table))
-        df = reduce(DataFrame.unionAll, [part(*entry) for entry in _MAPPING[table]])
+        df = reduce(DataFrame.unionAll, [part(*entry, table in _LONG_TASKS) for entry in _MAPPING[table]])
         return df.distinct() if table == "assignment" else df
 
     return Tables(read)

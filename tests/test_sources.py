@@ -170,3 +170,16 @@ def test_one_date_spreads_over_files(spark, tmp_path, day):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "stored/ucdr_giving")).groupBy("_metadata.file_path").count().collect()]
     assert len(sizes) > 1 and max(sizes) < 2_000 and sum(sizes) == 4_000
+
+
+def test_tasks_of_the_stage_history_take_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    lines = spark.range(6_000).selectExpr("id % 2000 AS l_orderkey", "CAST(id % 7 + 1 AS INT) AS l_linenumber", "TIMESTAMP_NTZ '1996-03-01 00:00:00' AS l_shipdate")
+    orders = spark.range(2_000).selectExpr("id AS o_orderkey", "id % 50 AS o_custkey")
+    for name, df in {"lineitem": lines, "orders": orders, "customer": spark.range(50).selectExpr("id AS c_custkey")}.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    plain = sorted(map(str, stage_tables(spark, str(tmp_path)).stage.collect()))
+    monkeypatch.setattr("prospectus.sources.staged.ROWS_PER_TASK", 100)
+    stage = stage_tables(spark, str(tmp_path)).stage
+    tasks = stage.where("proposal_id IS NOT NULL").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 40 and max(row["count"] for row in tasks) < 400
+    assert sorted(map(str, stage.collect())) == plain and len(plain) == 6_050
