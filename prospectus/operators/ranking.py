@@ -27,9 +27,13 @@ def with_next_event(
     A key is never sorted whole: the search runs inside (key, day), and only the first event of each day is carried
     over to earlier days, so a key with a large share of all rows is spread over its days. Both windows run backwards in
     time, which keeps them running minima.
+
+    The days are dealt out to all of ``spark.sql.shuffle.partitions``: points are narrow, and adaptive execution, going by
+    shuffled bytes, would put millions of them and of whatever is made of them into one task.
     """
     day = "_day"
     points = points.withColumn(day, F.to_date(at))
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     backwards = Window.partitionBy(*keys, day).orderBy(F.col(at).desc())
     if include_self:
@@ -44,7 +48,8 @@ def with_next_event(
         .select(*keys, day, F.min("_first").over(later_days).alias("_later"))
     )
     return (
-        points.withColumn("_inside", F.min(event).over(inside))
+        points.repartition(tasks, *keys, day)
+        .withColumn("_inside", F.min(event).over(inside))
         .join(days, [*keys, day], "left")
         .withColumn(name, F.coalesce("_inside", "_later"))
         .drop(day, "_inside", "_later")

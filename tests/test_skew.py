@@ -127,3 +127,16 @@ def test_latest_by_ranks_null_first_and_breaks_ties(spark):
     assert found == {1: "b", 2: "c", 3: None}
     hot = spark.range(20_000, numPartitions=8).select(F.lit(1).alias("k"), F.col("id").alias("o"))
     assert latest_by(hot, ["k"], "o").first().o == 19_999
+
+
+def test_next_event_deals_days_out_to_all_shuffle_partitions(spark):
+    rows = [(k, datetime(2016, 1, 1) + timedelta(days=d)) for k in range(40) for d in range(10)]
+    points = spark.createDataFrame([(k, at, at) for k, at in rows], "k int, at timestamp_ntz, event timestamp_ntz")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = with_next_event(points, ["k"], "at", "event", "next", False).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len({row.task for row in found}) == 16
+    assert {(row.k, row["at"], row["next"]) for row in found} == {(k, at, at + timedelta(days=1) if (k, at + timedelta(days=1)) in set(rows) else None) for k, at in rows}
