@@ -12,7 +12,7 @@ from prospectus.operators.cohorts import cohort_pairs, om_cohort, prospect_cohor
 from prospectus.plans import flows
 from prospectus.plans.officer_management import removed_by_rm
 from prospectus.plans.percents import coverage_percents
-from prospectus.plans.scorecard import officer_scorecard
+from prospectus.plans.scorecard import scorecards
 from prospectus.sources.staged import STAGED_PARAMS as P
 
 
@@ -263,8 +263,4 @@ def _(t, p):
 
 
 def scorecard_counts(t, p):
-    cards = [
-        officer_scorecard(t, p, role).select(F.lit(role).alias("role"), "officer_id", *COUNT_COLUMNS)
-        for role in ("LM", "S")
-    ]
-    return cards[0].unionByName(cards[1])
+    return scorecards(t, p, *COUNT_COLUMNS)

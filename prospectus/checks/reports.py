@@ -21,6 +21,7 @@ from prospectus.checks.published import CAPACITY_STEPS, COUNT_COLUMNS, STAGE_MIX
 from prospectus.checks.registry import check, register
 from prospectus.checks.scalars import assessment_columns
 from prospectus.checks.windows import LEADS
+from prospectus.plans.scorecard import scorecards
 from prospectus.sources.staged import STAGED_PARAMS as P
 
 OM_STAMP = f"{s.NOW} AS date_pulled, {s.window_text(P.om_window)} AS date_range"
@@ -363,14 +364,7 @@ MEASURES = {
 
 
 def _measure(columns: tuple[str, ...]):
-    def query(t, p):
-        cards = [
-            plans.officer_scorecard(t, p, role).select(F.lit(role).alias("role"), "officer_id", *columns)
-            for role in ("LM", "S")
-        ]
-        return cards[0].unionByName(cards[1])
-
-    return query
+    return lambda t, p: scorecards(t, p, *columns)
 
 
 for _key, _columns in MEASURES.items():

@@ -10,10 +10,12 @@ however many officers a prospect has.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prospectus.functions import predicates as is_
 from prospectus.functions import scalars
 from prospectus.functions.dates import now
 from prospectus.operators.cohorts import cohort_pairs, prospect_cohort
@@ -173,16 +175,39 @@ def fan_out_measures(
     return rows.groupBy("officer_id").agg(*_named(measures))
 
 
-def officer_scorecard(t: Tables, p: ReportParams, atype: str = "LM") -> DataFrame:
+class Sources(NamedTuple):
+    """What the scorecards of both roles read of the large tables, stored."""
+
+    tables: Tables
+    window: DataFrame
+    entries: DataFrame
+
+
+def scorecard_sources(t: Tables, p: ReportParams) -> Sources:
+    """``t`` with the active manager and team assignments alone, ``window_activity`` and ``newest_entries``."""
+    columns = ["prospect_id", "assignment_id_number", "assignment_type", "active_ind", "priority_code", "start_date", "proposal_id"]
+    held = shared(t.assignment.where(is_.is_assignment("S", "LM")).select(*columns))
+    codes = tuple(dict.fromkeys(AGED_STAGES + AGED_PROPOSAL_STAGES + HISTORY_CODES))
+    tables = Tables(lambda name: held if name == "assignment" else getattr(t, name))
+    return Sources(tables, shared(window_activity(t, p)), shared(newest_entries(t, codes)))
+
+
+def scorecards(t: Tables, p: ReportParams, *columns: str) -> DataFrame:
+    """``role``, ``officer_id`` and the ``columns`` of the scorecards of both roles, which read the same stored sources."""
+    sources = scorecard_sources(t, p)
+    cards = [officer_scorecard(t, p, role, sources).select(F.lit(role).alias("role"), "officer_id", *columns) for role in ("LM", "S")]
+    return cards[0].unionByName(cards[1])
+
+
+def officer_scorecard(t: Tables, p: ReportParams, atype: str = "LM", sources: Sources | None = None) -> DataFrame:
     """The scorecard of managers ("LM") or team members ("S"), ordered by officer name.
 
     ``portfolio_size`` is always the size as manager and ``team_member_size`` the size as team member; shares divide by
-    the size in the role the scorecard is for.
+    the size in the role the scorecard is for. ``sources`` (``scorecard_sources``) saves a second scorecard the large tables.
     """
     team = atype == "S"
+    t, window, entries = sources or scorecard_sources(t, p)
     cohort = shared(prospect_cohort(t, atype))
-    window = shared(window_activity(t, p))
-    entries = shared(newest_entries(t, tuple(dict.fromkeys(AGED_STAGES + AGED_PROPOSAL_STAGES + HISTORY_CODES))))
     other_role = role_size(t, "LM" if team else "S").withColumnRenamed("role_size", "other_size")
     counted = reduce(
         lambda left, right: left.join(right, "officer_id", "left"),

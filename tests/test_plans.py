@@ -11,8 +11,10 @@ from pyspark.sql.classic.dataframe import DataFrame
 from random_tables import random_tables, write
 
 from prospectus import plans
+from prospectus.checks.aggregates import COUNT_COLUMNS, scorecard_counts
 from prospectus.operators import contacts, fan_out, giving, stages
 from prospectus.operators.cohorts import proposal_cohort
+from prospectus.plans import scorecard
 from prospectus.plans.scorecard import officer_scorecard
 from prospectus.sources.shared import shared_folder
 from prospectus.sources.staged import STAGED_PARAMS as P
@@ -182,3 +184,14 @@ def test_stage_history_is_not_joined_to_itself(t, no_broadcast):
     """One scan for the dates, one for the first date of each day."""
     text = plan_of(stages.stage_days(t, P))
     assert scans(text, "stage") == 2 and text.count("SortMergeJoin") == 1
+
+
+def test_both_scorecards_read_the_large_tables_once(spark, tmp_path, monkeypatch):
+    write(random_tables(5), str(tmp_path))
+    t, read = load_tables(spark, str(tmp_path)), []
+    for name in ("window_activity", "newest_entries"):
+        monkeypatch.setattr(scorecard, name, lambda *a, name=name, f=getattr(scorecard, name): read.append(name) or f(*a))
+    both = sorted(map(str, scorecard_counts(t, P).collect()))
+    assert sorted(read) == ["newest_entries", "window_activity"]
+    alone = [scorecard.officer_scorecard(t, P, role).selectExpr(f"'{role}' AS role", "officer_id", *COUNT_COLUMNS) for role in ("LM", "S")]
+    assert both == sorted(map(str, alone[0].unionByName(alone[1]).collect())) and both
